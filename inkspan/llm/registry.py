@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
-_MODULES = (substring_dedup,)
+_MODULES = (substring_dedup, jaccard_join)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
