@@ -35,8 +35,8 @@ from .components import components
 
 COORDS, SHINGLE, THRESHOLD = 64, 5, 0.8
 DEPTH, LEAF, RECALL = 3, 200, 0.9999
-#: Documents in a block of the exact check.
-BLOCK = 256
+#: Sets in a block of a node that is still large at the last level, and documents in a block of the exact check.
+SKETCH_BLOCK, BLOCK = 1000, 256
 _U = np.uint64
 _SCALE = C.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _SHIFT = C.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
@@ -161,7 +161,11 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def _alike(threshold: float) -> Callable:
-    """Candidate links within sorted groups (path, pair): a forest of (u, v)."""
+    """Candidate links within sorted groups (path, pair): a forest of (u, v).
+
+    The group of two different blocks leaves out what the groups of each block alone say, so the rows of a large node go as
+    its size, not as its size times its blocks.
+    """
     least = max(1, math.ceil(COORDS * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +186,13 @@ def _alike(threshold: float) -> Callable:
                         left.append(a[ok])
                         right.append(b[ok])
             a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-            root = node[_forest(len(node), a, b, node)]
-            new = root != node
-            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(root[new])], names=["u", "v"])
+            block = np.asarray(C.to_array(table.column("block")))
+            own = block[a] == block[b]
+            cross = np.repeat(np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start), length)
+            u = np.where(cross, node[_forest(len(node), a[own], b[own], node)], node)
+            v = node[_forest(len(node), a, b, node)]
+            u, v = np.unique(np.stack([u, v])[:, u != v], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
@@ -272,8 +280,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     for more in leaves[1:]:
         every = every.unionByName(more)
     marks = sets.select("node", "n", "sketch").mapInArrow(_marks, "node long, n long, marks binary")
-    placed = _in_blocks(every.join(marks, "node"), "size", leaf).repartition("path", "pair").sortWithinPartitions("path", "pair")
-    links = placed.select("path", "pair", "node", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
+    placed = _in_blocks(every.join(marks, "node"), "size", SKETCH_BLOCK).repartition("path", "pair").sortWithinPartitions("path", "pair")
+    links = placed.select("path", "pair", "block", "node", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
 
     comps = C.durable(components(links).withColumnRenamed("root", "comp"))
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").join(sets.select("node", "rep", "n_docs"), "node")
