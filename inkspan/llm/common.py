@@ -156,9 +156,10 @@ _IS_SEP[list(SEPARATORS)] = True
 class Words:
     """The words of a chunk of texts: ``start`` and ``end`` in ``data``; those of document d are ``first[d]`` to ``first[d + 1]``."""
 
-    def __init__(self, array: pa.Array):
+    def __init__(self, array: pa.Array, separators: np.ndarray | None = None):
+        """separators: of each byte, whether it separates words; those of ``SEPARATORS``, if None."""
         self.data, self.offsets = text_bytes(array)
-        self.inside = inside = ~_IS_SEP[self.data]
+        self.inside = inside = ~(_IS_SEP if separators is None else separators)[self.data]
         n = len(inside)
         begins, ends = inside.copy(), inside.copy()
         if n:
@@ -176,14 +177,15 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each word's bytes, after ``fold`` has mapped each byte."""
         if not len(self):
             return np.zeros(0, np.uint64)
         lens = self.end - self.start
         at = np.cumsum(lens) - lens
         place = np.arange(int(lens.sum()), dtype=np.int64)
         place -= np.repeat(at, lens)
-        values = _BYTE_VALUES[self.data[self.inside]]
+        values = (_BYTE_VALUES if fold is None else _BYTE_VALUES[fold])[self.data[self.inside]]
         values *= powers("byte", int(lens.max()))[place]
         sums = np.add.reduceat(values, at)
         return mix(sums + lens.astype(np.uint64) * _U(0x9E3779B97F4A7C15))

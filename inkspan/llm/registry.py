@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import edit_fingerprint, jaccard_join, language_id, substring_dedup, toxicity
 
-_MODULES = (substring_dedup, jaccard_join)
+_MODULES = (language_id, substring_dedup, jaccard_join, toxicity, edit_fingerprint)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
