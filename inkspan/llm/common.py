@@ -177,18 +177,29 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
-        """A hash of each word's bytes, after ``fold`` has mapped each byte."""
+    def hashes(self, data: np.ndarray | None = None, prefixes: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+        """A hash of each word's bytes, in ``data`` if given (the texts' bytes, folded).
+
+        With ``prefixes``, a list: that hash, then for each length one of the first so many bytes, 0 for shorter words.
+        """
         if not len(self):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64)] * (1 + len(prefixes)) if prefixes else np.zeros(0, np.uint64)
         lens = self.end - self.start
         at = np.cumsum(lens) - lens
         place = np.arange(int(lens.sum()), dtype=np.int64)
         place -= np.repeat(at, lens)
-        values = (_BYTE_VALUES if fold is None else _BYTE_VALUES[fold])[self.data[self.inside]]
+        values = _BYTE_VALUES[(self.data if data is None else data)[self.inside]]
         values *= powers("byte", int(lens.max()))[place]
-        sums = np.add.reduceat(values, at)
-        return mix(sums + lens.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        whole = mix(np.add.reduceat(values, at) + lens.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        if not prefixes:
+            return whole
+        sums, out = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)]), [whole]
+        for n in prefixes:
+            long = lens >= n
+            part = np.zeros(len(lens), np.uint64)
+            part[long] = mix(sums[at[long] + n] - sums[at[long]] + _U(n))
+            out.append(part)
+        return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

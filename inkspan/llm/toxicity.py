@@ -1,13 +1,13 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Tokens are runs of letters and digits (bytes from 0x80 on count as letters), with 'A' to 'Z' folded. The chain has two
-states, clean and toxic. A token's emission adds hashed weights of itself and of both neighbours; transitions have weights
-of their own. Forward-backward gives each token's marginal, in step over thousands of stretches of ``STRETCH`` tokens: the
+Tokens are runs of letters and digits (bytes from 0x80 on count as letters), folded to lower case in ASCII and Latin-1. The
+chain has two states, clean and toxic. A token's emission adds hashed weights of itself, of its first 4 to 8 bytes and of
+both neighbours; transitions have weights of their own. Forward-backward gives each token's marginal, in step over thousands of stretches of ``STRETCH`` tokens: the
 chain is cut there, but no token is left out. Spans of marginals of 0.5 or more are the offending offsets; a document's
 score is a logistic function of the sum and the largest of its marginals.
 
-Learning. Labels are of documents, so token labels come from them: in toxic learning texts a token is labelled toxic if it is
-rare in clean texts and common enough in toxic ones (``PRECISION``, ``SUPPORT``), copies and near copies (by minwise
+Learning. Labels are of documents, so token labels come from them: in toxic learning texts a token is labelled toxic if it,
+or one of its prefixes, is rare in clean texts and common enough in toxic ones (``PRECISION``, ``SUPPORT``), copies and near copies (by minwise
 hashing) counting once; all other tokens are clean. At most
 ``PER_CLASS`` toxic and as many clean labelled documents, those of the least hash of their id, are fitted on; that bound is
 a parameter. How common each label is, which the score needs, is counted over all learning labels.
@@ -30,16 +30,28 @@ from pyspark.sql import types as T
 from . import common as C
 
 PER_CLASS, STRETCH, BITS = 1500, 64, 17
-PRECISION, SUPPORT = 0.8, 0.02
+PRECISION, SUPPORT = 0.9, 0.02
 ROUNDS, PENALTY, THRESHOLD = 60, 1e-6, 0.3
 
 _SPLIT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Kinds of features: the token, its prefixes, the tokens before and after.
+KINDS = 3 + len(PREFIXES)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and Latin-1 (0xC3, then 0x80 to 0x9E but 0x97) made small."""
+    out = _FOLD[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    b = data[second]
+    out[second[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]] += 0x20
+    return out
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # (3, 2**BITS): of the token, the one before, the one after
+    weights: np.ndarray  # (KINDS, 2**BITS)
     bias: float
     moves: np.ndarray  # (2, 2) transition weights, from row to column
     rule: np.ndarray  # constant, sum, largest
@@ -52,7 +64,8 @@ class Tokens:
 
     def __init__(self, array: pa.Array):
         self.words = words = C.Words(array, _SPLIT)
-        self.hashes = words.hashes(_FOLD)
+        self.kinds = words.hashes(folded(words.data), PREFIXES)
+        self.hashes = self.kinds[0]
         n, counts = len(words), words.counts()
         self.doc = np.repeat(np.arange(len(counts)), counts)
         token = np.arange(n)
@@ -61,14 +74,14 @@ class Tokens:
         stretch = np.repeat(np.cumsum(per_doc) - per_doc, counts) + inner // STRETCH
         self.place = np.full((STRETCH, int(per_doc.sum())), -1, np.int64)
         self.place[inner % STRETCH, stretch] = token
-        bucket = (self.hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        before, after = np.roll(bucket, 1), np.roll(bucket, -1)
+        buckets = [(h >> np.uint64(64 - BITS)).astype(np.int32) for h in self.kinds]
+        before, after = np.roll(buckets[0], 1), np.roll(buckets[0], -1)
         # at a text's ends the neighbour is the empty bucket 0
         edge = np.ones(n, bool)
         edge[1:] = self.doc[1:] != self.doc[:-1]
         before[edge] = 0
         after[np.roll(edge, -1) if n else edge] = 0
-        self.features = (bucket, before, after)
+        self.features = (*buckets, before, after)
 
     def emissions(self, model: Model) -> np.ndarray:
         out = np.full(len(self.hashes), model.bias)
@@ -145,15 +158,22 @@ def _marginals_only(emission: np.ndarray, real: np.ndarray, moves: np.ndarray) -
 def token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Which tokens of the learning texts are labelled toxic; ``toxic``: of each text."""
     one = _first_of_copies(tokens, len(toxic))
-    pairs = np.unique(np.stack([tokens.hashes, tokens.doc.astype(np.uint64)])[:, one[tokens.doc]], axis=1)
-    kinds, at = np.unique(pairs[0], return_inverse=True)
-    bad = toxic[pairs[1].astype(np.int64)]
-    in_toxic = np.bincount(at, weights=bad, minlength=len(kinds))
-    in_clean = np.bincount(at, weights=~bad, minlength=len(kinds))
     n1, n0 = max(1, (toxic & one).sum()), max(1, (~toxic & one).sum())
-    rate1, rate0 = (in_toxic + 0.1) / n1, (in_clean + 0.1) / n0
-    marked = kinds[(in_toxic >= max(3, SUPPORT * n1)) & (rate1 / (rate1 + rate0) >= PRECISION)]
-    return np.isin(tokens.hashes, marked) & toxic[tokens.doc]
+    out = np.zeros(len(tokens.doc), bool)
+    for hashes in tokens.kinds:
+        use = one[tokens.doc] & (hashes != 0)
+        order = np.lexsort((tokens.doc[use], hashes[use]))
+        h, d = hashes[use][order], tokens.doc[use][order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
+        kinds, at = np.unique(h, return_inverse=True)
+        in_toxic = np.bincount(at, weights=toxic[d], minlength=len(kinds))
+        in_clean = np.bincount(at, weights=~toxic[d], minlength=len(kinds))
+        rate1, rate0 = (in_toxic + 0.1) / n1, (in_clean + 0.1) / n0
+        marked = kinds[(in_toxic >= max(3, SUPPORT * n1)) & (rate1 / (rate1 + rate0) >= PRECISION)]
+        out |= np.isin(hashes, marked)
+    return out & toxic[tokens.doc]
 
 
 def _first_of_copies(tokens: Tokens, n: int) -> np.ndarray:
@@ -182,7 +202,7 @@ def _features_of_docs(p: np.ndarray, tokens: Tokens, n: int) -> np.ndarray:
 
 def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     """Fit the field on texts and their labels; ``share``: of toxic labels among all."""
-    model = Model(np.zeros((3, 1 << BITS)), -4.0, np.array([[0.0, -1.0], [-1.0, 0.0]]), np.array([0.0, 0.0, 0.0]), share, False)
+    model = Model(np.zeros((KINDS, 1 << BITS)), -4.0, np.array([[0.0, -1.0], [-1.0, 0.0]]), np.array([0.0, 0.0, 0.0]), share, False)
     if not len(texts) or toxic.all() or not toxic.any():
         return model
     tokens = Tokens(pa.array(texts, pa.large_string()))
