@@ -239,7 +239,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def running_totals(df: DataFrame, order: list[str], size: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with ``before_rows`` and ``before_size``: rows, and the sum of ``size``, that stand before each row in ``order``.
+    """``df`` with ``before_rows`` and ``before_size``: rows, and the sum of ``size``, that stand before each row in ``order``; ``all_size``: the sum over all.
 
     A range exchange deals the rows into partitions, which is written to the shared folder with the partition's number, so
     both passes see the same cuts. Each partition is counted on its own; only one row per partition is summed in order,
@@ -253,7 +253,7 @@ def running_totals(df: DataFrame, order: list[str], size: str, partitions: int |
 
     totals = held.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__s"))
     before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"))
+    bases = totals.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"), F.sum("__s").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_size"))
     inner = W.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     own = held.withColumn("before_rows", F.row_number().over(inner) - 1).withColumn("before_size", F.sum(size).over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col(size))
     return own.join(F.broadcast(bases), part).withColumns({"before_rows": (F.col("before_rows") + F.col("__n0")).cast("long"), "before_size": (F.col("before_size") + F.col("__s0")).cast("long")}).drop(part, "__n0", "__s0")
