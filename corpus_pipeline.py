@@ -1,15 +1,61 @@
-"""The corpus pipeline: STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir)."""
+"""The corpus pipeline: from ``documents`` to packed training batches.
+
+STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir), works on all of ``docs`` and returns a frame
+that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents:
+
+1. language: texts without a language (no letter, or no likeness to any) go; a missing ``lang`` is filled by the prediction.
+2. near_copies: of each class of documents that links of Jaccard similarity 0.8 connect, the one with the least id stays.
+3. repeated_passages: words under windows of 35 words that start elsewhere too are cut; what is left empty by that goes.
+4. mixture: documents are sampled by probabilities raked to targets of source, language and topic.
+5. packing: batches of a padded token budget within optimal length buckets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from inkspan.llm import common, jaccard_join, language_id, mixing, packing, substring_dedup
+
+#: Cosine 0 with the nearest profile.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs, language_id.learn(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs, jaccard_join.jaccard_join(docs)).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(docs)
+    cut = F.col("n_removed") > 0
+    kept = found.where(~(cut & (F.col("n_removed") == F.col("n_words"))))
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
+    out = kept.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).where("keep").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packing", pack)]
+#: Language identification has no SQL form; the pipeline is tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = common.durable(stage(spark, docs, sf_dir))
     return docs
