@@ -25,7 +25,9 @@ def value_at_rank(df: DataFrame, column: str, rank: int) -> int | None:
         return None
     while low < high:
         width = max(1, -(-(high - low + 1) // BINS))
-        bins = df.where(F.col(column).between(low, high)).groupBy(F.expr(f"({column} - ({low}L)) div {width}L").alias("b")).count().collect()
+        # differences of far apart longs need more than 64 bits
+        value = column if high - low < 1 << 63 else f"cast({column} as decimal(20, 0))"
+        bins = df.where(F.col(column).between(low, high)).groupBy(F.expr(f"({value} - ({low})) div {width}").cast("long").alias("b")).count().collect()
         for b, c in sorted(tuple(r) for r in bins):
             if rank < c:
                 low, high = low + b * width, min(high, low + (b + 1) * width - 1)
