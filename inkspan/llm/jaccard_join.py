@@ -68,7 +68,7 @@ def _sketches(key: str, text: str, shingle: int) -> Callable:
                 node[some] = nodes.view(np.int64)
                 packed = np.zeros((part.num_rows, COORDS), np.uint64)
                 packed[some] = sketch
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(node), pa.array(sizes.astype(np.int64)), pa.array([x if n else None for x, n in zip(map(bytes, packed), sizes.tolist(), strict=True)], pa.binary())], names=[key, "node", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(node), pa.array(sizes.astype(np.int64)), pa.array([x if n else None for x, n in zip(map(bytes, packed), sizes.tolist(), strict=True)], pa.binary())], names=[key, "text_hash", "node", "n", "sketch"])
 
     return run
 
@@ -260,11 +260,12 @@ def _in_blocks(df: DataFrame, size: str, most: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, depth: int = DEPTH, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (the least id among documents that links connect), n_links (other documents
-    of similarity ``threshold`` or more, copies included) and n_copies (documents with the same shingles, itself included)."""
+    of similarity ``threshold`` or more, copies included), n_copies (documents with the same shingles, itself included), and
+    for :func:`keep_one` class_key (the class, whatever its ids; null without words) and text_hash."""
     key = "__key"
-    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias(key), F.col(text).alias("__text"))
-    members = C.durable(narrow.mapInArrow(_sketches(key, "__text", shingle), f"{key} long, node long, n long, sketch binary"))
-    sets = C.durable(members.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), F.min(F.when(F.col(key) > -(2**63), F.col(key))).alias("least_id"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    narrow = docs.select(F.col(doc_id).cast("long").alias(key), F.col(text).alias("__text"))
+    members = C.durable(narrow.withColumn("text_hash", F.xxhash64("__text")).mapInArrow(_sketches(key, "__text", shingle), f"{key} long, text_hash long, node long, n long, sketch binary"))
+    sets = C.durable(members.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     rows = sets.select("node", "sketch").mapInArrow(_roots(runs_for(recall, depth, threshold)), "path long, node long")
     leaves = []
@@ -285,7 +286,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
     comps = C.durable(components(links).withColumnRenamed("root", "comp"))
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").join(sets.select("node", "rep", "n_docs"), "node")
-    texts = narrow.join(sized.withColumnRenamed("rep", key).hint("shuffle_hash"), key)
+    texts = narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("rep")))
     checked = _in_blocks(texts, "size", BLOCK).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     exact = C.durable(checked.select("comp", "pair", "blocks", "block", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), "comp long, blocks int, node long, root long, links long"))
     counts = exact.groupBy("node").agg(F.sum("links").alias("links"))
@@ -293,13 +294,13 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     across = exact.where("blocks > 1 and root <> node").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not across.isEmpty():
         roots = roots.unionByName(components(across))
-    facts = sets.select("node", "least_id", "n_docs").join(roots, "node", "left").join(counts, "node", "left")
-    facts = facts.select("node", F.coalesce("root", "node").alias("root"), "least_id", "n_docs", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    classes = facts.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    facts = facts.join(classes, "root").select("node", "class_id", "n_links", "n_docs")
-    own = F.when(F.col(key) > -(2**63), F.col(key))
-    out = members.select(key, "node", "n").join(facts, "node", "left")
-    return out.select(own.alias(doc_id), F.when(F.col("n") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("n") > 0, F.col("n_docs")), F.lit(1)).cast("long").alias("n_copies"))
+    facts = sets.select("node", "rep", "n_docs").join(roots, "node", "left").join(counts, "node", "left")
+    facts = facts.select("node", F.coalesce("root", "node").alias("root"), "rep", "n_docs", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    classes = facts.groupBy("root").agg(F.min("rep").alias("class_id"))
+    facts = facts.join(classes, "root").select("node", "root", "class_id", "n_links", "n_docs")
+    own = F.col(key)
+    out = members.select(key, "text_hash", "node", "n").join(facts, "node", "left")
+    return out.select(own.alias(doc_id), F.when(F.col("n") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("n") > 0, F.col("n_docs")), F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("root")).alias("class_key"), "text_hash")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,18 +311,28 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([bytes(x) for x in marks], pa.binary())], names=["node", "n", "marks"])
 
 
-def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Of ``docs``, the row whose id is its class's; of rows that repeat that id, one."""
-    first = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy(doc_id).agg(F.count(F.lit(1)).alias("__n"))
-    kept = docs.alias("d").join(first.withColumnRenamed(doc_id, "__id").hint("shuffle_hash"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("__id")))
-    once = kept.where("__n = 1 or __id is null").drop("__id", "__n")
-    if first.where(f"__n > 1 and `{doc_id}` is not null").isEmpty():
-        return once
-    return once.unionByName(kept.where("__n > 1 and __id is not null").drop("__id", "__n").dropDuplicates([doc_id]))
+def keep_one(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Of ``docs``, one row of each class in ``found``: that of the least id (null last), then text hash. Rows without words all stay."""
+    id_, hash_ = C.free_name(docs, "__id"), C.free_name(docs, "__hash")
+    order = F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("id"), F.col("text_hash").alias("hash"))
+    of_class = found.where("class_key is not null").groupBy("class_key").agg(F.min(order).alias("m")).select("m.id", "m.hash")
+    wordless = found.where("class_key is null").select(F.col(doc_id).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    hashed = docs.withColumn(hash_, F.xxhash64(F.col(text)))
+
+    def among(chosen: DataFrame) -> DataFrame:
+        named = chosen.toDF(id_, hash_ + "2")
+        match = F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(hash_ + "2"))
+        return hashed.join(named.hint("shuffle_hash"), match).drop(id_, hash_ + "2")
+
+    repeated = found.where("class_key is not null").groupBy(doc_id, "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return among(of_class.unionByName(wordless)).drop(hash_)
+    # some rows repeat both id and text: of these, one stays
+    return among(of_class).dropDuplicates([doc_id, hash_]).unionByName(among(wordless)).drop(hash_)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(C.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join(C.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key", "text_hash")
 
 
 OP6_SQL = r"""
