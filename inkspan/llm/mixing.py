@@ -73,7 +73,9 @@ def probabilities(raked: np.ndarray, tokens: np.ndarray, fraction: float) -> np.
     full = np.concatenate([[0], np.cumsum(t)])
     rest = w.sum() - np.concatenate([[0], np.cumsum(w)])
     for k in range(len(order)):
-        scale = (want - full[k]) / rest[k] if rest[k] > 0 else 0.0
+        if rest[k] <= 0:
+            break
+        scale = (want - full[k]) / rest[k]
         if scale * ratio[order[k]] <= 1:
             return np.minimum(1, np.maximum(0, scale) * ratio)
     return np.minimum(1, np.where(ratio > 0, 1.0, 0.0))
