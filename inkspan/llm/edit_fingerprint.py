@@ -236,7 +236,7 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     to = F.array(F.struct(F.col("at.part").alias("part"), F.lit(0).alias("extra")))
     both = F.concat(to, F.array(F.struct(F.col("at.before").alias("part"), F.lit(1).alias("extra"))))
     dealt = rows.withColumn("at", place("key")).select("id", "key", "text", F.explode(F.when(F.col("at.before") >= 0, both).otherwise(to)).alias("to"))
-    placed = dealt.select("to.part", "to.extra", "id", "key", "text").repartition(n, "part").sortWithinPartitions("part", "extra", "key", F.xxhash64("text"))
+    placed = dealt.select("to.part", "to.extra", "id", "key", "text").repartition(n, "part").sortWithinPartitions("part", "extra", "key", F.col("id").isNotNull(), F.xxhash64("text"))
     return placed.mapInArrow(_pairs, _SCHEMA)
 
 
