@@ -1,17 +1,18 @@
-"""Cutting lineage with tables in the folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Tables in the folder that driver and executors share, and places in an order over all rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a fresh local folder."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in tests, a fresh local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
@@ -21,6 +22,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again.
+
+    Lineage ends there, the files survive lost executors, and reading them needs no shuffle. The folder is the job's own,
+    so it goes with it; :func:`forget` removes the tables of this process earlier.
+    """
     path = f"{shared_dir(df.sparkSession)}/inkspan-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that :func:`durable` wrote in this process; results that still read them must be consumed first."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def running_totals(df: DataFrame, order: list[str], size: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``before_rows`` and ``before_size``: rows, and the sum of ``size``, that stand before each row in ``order``; ``all_size``: the sum over all.
+
+    A range exchange deals the rows into partitions, which is written to the shared folder with the partition's number, so
+    both passes see the same cuts. Each partition is counted on its own; only one row per partition is summed in order,
+    and that table, bounded by the number of partitions, is broadcast. ``order`` should be a total order; equal rows get
+    the places among them in any order. The frame must be narrow: it is written once.
+    """
+    spark, part = df.sparkSession, "__part"
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    held = durable(df.repartitionByRange(n, *by).withColumn(part, F.spark_partition_id()))
+    totals = held.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__s"))
+    whole, before = W.orderBy(part), W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select(
+        part,
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
+        F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"),
+        F.sum("__s").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_size"),
+    )
+    inner = W.partitionBy(part).orderBy(*by)
+    own = held.withColumn("before_rows", F.row_number().over(inner) - 1).withColumn("before_size", F.sum(size).over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col(size))
+    placed = own.join(F.broadcast(bases), part)
+    return placed.withColumns({"before_rows": (F.col("before_rows") + F.col("__n0")).cast("long"), "before_size": (F.col("before_size") + F.col("__s0")).cast("long")}).drop(part, "__n0", "__s0")
+
+
+def ranks(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``before_rows``, the place of each row in ``order``, from 0."""
+    return running_totals(df.withColumn("__one", F.lit(1)), order, "__one").drop("__one", "before_size", "all_size")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from inkspan.operators.durable import ranks
 from inkspan.plans.config import Ingestion
 
 START, END = "<DOCUMENT_START>", "<DOCUMENT_END>"
@@ -74,7 +75,7 @@ def load_documents(spark: SparkSession, path: str, config: Ingestion | None = No
     if docs.isEmpty():
         raise ValueError(f"No supported documents found in {path}")
     # positions come from the paths alone; texts join them by path
-    order = docs.select("path").withColumn("doc_idx", F.row_number().over(W.orderBy(F.split("path", "/"))).cast("long") - 1)
+    order = ranks(docs.select("path", F.split("path", "/").alias("parts")), ["parts"]).select("path", F.col("before_rows").alias("doc_idx"))
     return docs.join(order, "path").select("doc_idx", "path", "text")
 
 
