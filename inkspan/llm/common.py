@@ -6,8 +6,6 @@ that is run again, or run on another executor, gives the same values.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from inkspan.operators.durable import durable, forget, running_totals, shared_dir
+
+__all__ = ["durable", "forget", "running_totals", "shared_dir"]
+
 #: Separators of words: space and U+0009 to U+000D.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: A word as Spark SQL and DuckDB patterns write it.
@@ -23,43 +25,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are turned into arrays at once; one longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="inkspan-"))
-    return _own_dir[0]
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    Lineage ends there, the files survive lost executors, and reading them needs no shuffle. The folder is the job's own,
-    so it goes with it; :func:`forget` removes the tables of this process earlier.
-    """
-    path = f"{shared_dir(df.sparkSession)}/inkspan-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def forget(spark: SparkSession) -> int:
-    """Delete the tables that :func:`durable` wrote in this process; results that still read them must be consumed first."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -235,29 +200,5 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(docs, np.arange(n_docs + 1))
 
 
-# --- order over all rows -----------------------------------------------------------------------------------------------
-
-
-def running_totals(df: DataFrame, order: list[str], size: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with ``before_rows`` and ``before_size``: rows, and the sum of ``size``, that stand before each row in ``order``; ``all_size``: the sum over all.
-
-    A range exchange deals the rows into partitions, which is written to the shared folder with the partition's number, so
-    both passes see the same cuts. Each partition is counted on its own; only one row per partition is summed in order,
-    and that table, bounded by the number of partitions, is broadcast. ``order`` should be a total order; equal rows get
-    the places among them in any order. The frame must be narrow: it is written once.
-    """
-    spark, part = df.sparkSession, "__part"
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = durable(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order]).withColumn(part, F.spark_partition_id()))
-    from pyspark.sql import Window as W
-
-    totals = held.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__s"))
-    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"), F.sum("__s").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_size"))
-    inner = W.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    own = held.withColumn("before_rows", F.row_number().over(inner) - 1).withColumn("before_size", F.sum(size).over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col(size))
-    return own.join(F.broadcast(bases), part).withColumns({"before_rows": (F.col("before_rows") + F.col("__n0")).cast("long"), "before_size": (F.col("before_size") + F.col("__s0")).cast("long")}).drop(part, "__n0", "__s0")
-
-
 def struct_of(df: DataFrame, extra: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in extra]])

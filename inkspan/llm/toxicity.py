@@ -9,8 +9,8 @@ score is a logistic function of the sum and the largest of its marginals.
 Learning. Labels are of documents, so token labels come from them: in toxic learning texts a token is labelled toxic if it,
 or one of its prefixes, is rare in clean texts and common enough in toxic ones (``PRECISION``, ``SUPPORT``), copies and near copies (by minwise
 hashing) counting once; all other tokens are clean. At most
-``PER_CLASS`` toxic and as many clean labelled documents, those of the least hash of their id, are fitted on; that bound is
-a parameter. How common each label is, which the score needs, is counted over all learning labels.
+``PER_CLASS`` toxic and as many clean labelled documents, those of the least hash of their id, are fitted on, and of these as
+many as have ``PER_CLASS_CHARS`` characters together (one at least); both bounds are parameters. How common each label is, which the score needs, is counted over all learning labels.
 
 Defined results: null and empty texts score as a text without toxic tokens; a document with several labels counts with the
 largest; without labels of both kinds, all scores are the share of toxic labels (0.0 without labels). Rows are scored one by
@@ -24,12 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
-PER_CLASS, STRETCH, BITS = 1500, 64, 17
+PER_CLASS, PER_CLASS_CHARS, STRETCH, BITS = 1500, 4_000_000, 64, 17
 PRECISION, SUPPORT = 0.9, 0.02
 ROUNDS, PENALTY, THRESHOLD = 60, 1e-6, 0.3
 
@@ -240,14 +240,18 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS, per_class_chars: int = PER_CLASS_CHARS) -> Model:
     """Fit on at most ``per_class`` documents of each label; rows without id, text or label are passed over."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).alias("__toxic"))
     n = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
     order = [F.xxhash64("__id"), F.col("__id")]
     chosen = known.where("__toxic").orderBy(*order).limit(per_class).unionByName(known.where("not __toxic").orderBy(*order).limit(per_class))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").groupBy("__text").agg(F.max("__toxic").alias("__toxic"))
+    found = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    w = W.partitionBy("__toxic").orderBy(*order, F.xxhash64("__text")).rowsBetween(W.unboundedPreceding, 0)
+    upto = F.sum(F.length("__text")).over(w)
+    fits = found.withColumns({"__upto": upto, "__n": F.count(F.lit(1)).over(w)}).where((F.col("__upto") <= per_class_chars) | (F.col("__n") == 1))
+    rows = fits.groupBy("__text").agg(F.max("__toxic").alias("__toxic"))
     got = sorted(rows.collect(), key=lambda r: r["__text"])
     return fit([r["__text"] for r in got], np.array([r["__toxic"] for r in got], bool), share)
 
