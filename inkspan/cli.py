@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from inkspan import reach_workers
 from inkspan.operators import checks
 from inkspan.plans import config as K, stages
 
@@ -52,6 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     log = logging.getLogger("inkspan")
     try:
         spark = spark or SparkSession.builder.appName("inkspan").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        reach_workers(spark)
         if a.stage == "ingest":
             log.info("%d documents", stages.ingest(spark, a.input_dir, a.output, K.Ingestion(extract_zip=a.extract_zip)))
         elif a.stage == "clean":

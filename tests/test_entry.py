@@ -57,3 +57,9 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'clean_pipeline' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); from pyspark.sql import SparkSession; import __spark_entry__ as e; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.entry(s).count() == 50; assert e.queries()['byte_pair_counts'](s, {DATA!r}).count() > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
