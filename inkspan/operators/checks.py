@@ -44,30 +44,30 @@ def validate_corpus(spark: SparkSession, folder: str) -> dict:
     root, errors, warnings = Path(folder), [], []
     names = {"corpus.txt": "Corpus file", "metadata.jsonl": "Metadata file", "cleaning_report.json": "Cleaning report"}
     there = {n: (root / n).exists() for n in names}
-    errors += [f"{what} not found: {root / n}" for n, what in names.items() if not there[n]]
+    errors += [f"{what} is missing: {root / n}" for n, what in names.items() if not there[n]]
     if there["corpus.txt"]:
         b = boundary_counts(spark, str(root / "corpus.txt")).first()
         if not b["starts"]:
-            errors.append(f"No {START} markers found in corpus")
+            errors.append(f"the corpus has no {START}")
         if not b["ends"]:
-            errors.append(f"No {END} markers found in corpus")
+            errors.append(f"the corpus has no {END}")
         if b["starts"] != b["ends"]:
-            errors.append(f"Mismatched document boundaries: {b['starts']} starts, {b['ends']} ends")
+            errors.append(f"{b['starts']} documents begin, but {b['ends']} end")
         if not b["is_utf8"]:
-            errors.append("Corpus encoding error: not UTF-8")
+            errors.append("the corpus is not UTF-8")
         f = corpus_facts(prepared_marker_file(spark, str(root / "corpus.txt"))).first()
         if f["short_documents"]:
-            warnings.append(f"{f['short_documents']} documents appear to be empty or very short")
-        warnings += [f"Pattern '{p}' not found in corpus" for i, p in enumerate(EXPECTED) if not f[f"has_{i}"]]
+            warnings.append(f"{f['short_documents']} documents have fewer than {SHORT} characters")
+        warnings += [f"no document holds {p}" for i, p in enumerate(EXPECTED) if not f[f"has_{i}"]]
         if there["metadata.jsonl"] and (n := metadata_lines(spark, str(root / "metadata.jsonl")).count()) != b["starts"]:
-            warnings.append(f"Metadata count ({n}) does not match corpus document count ({b['starts']})")
+            warnings.append(f"{n} metadata records for {b['starts']} documents")
     if there["cleaning_report.json"]:
         try:
             report = json.loads((root / "cleaning_report.json").read_text(encoding="utf-8"))
-            errors += [f"Missing required field in report: {x}" for x in REPORT_FIELDS if x not in report]
-            errors += [f"Missing required statistic: {x}" for x in REPORT_STATISTICS if x not in report.get("statistics", {})]
+            errors += [f"the cleaning report lacks {x}" for x in REPORT_FIELDS if x not in report]
+            errors += [f"the cleaning report lacks the statistic {x}" for x in REPORT_STATISTICS if x not in report.get("statistics", {})]
         except ValueError as e:
-            errors.append(f"Cleaning report is not JSON: {e}")
+            errors.append(f"the cleaning report is no JSON: {e}")
     return {"is_valid": not errors, "errors": errors, "warnings": warnings}
 
 
@@ -94,53 +94,53 @@ def validate_tokenizer(folder: str) -> dict:
     """Check the four files of a saved tokenizer: {is_valid, errors, warnings}. All of it is bounded by the vocabulary."""
     root, errors, warnings = Path(folder), [], []
     names = ("vocab.json", "merges.json", "config.json", "tokenizer.json")
-    errors += [f"Missing required file: {n}" for n in names if not (root / n).exists()]
+    errors += [f"{n} is missing" for n in names if not (root / n).exists()]
     found: dict = {}
     for n in names[:3]:
         if (root / n).exists():
             try:
                 found[n] = json.loads((root / n).read_text(encoding="utf-8"))
             except ValueError as e:
-                errors.append(f"Failed to load {n}: {e}")
+                errors.append(f"{n} is no JSON: {e}")
     config, vocab, merges = found.get("config.json"), found.get("vocab.json"), found.get("merges.json")
     if config is not None:
-        errors += [f"Config missing field: {f}" for f in ("vocab_size", "min_frequency", "special_tokens", "algorithm") if f not in config]
+        errors += [f"the configuration lacks {f}" for f in ("vocab_size", "min_frequency", "special_tokens", "algorithm") if f not in config]
         if config.get("algorithm") != "byte_level_bpe":
-            errors.append(f"Invalid algorithm: {config.get('algorithm')}")
+            errors.append(f"unknown algorithm {config.get('algorithm')}")
         if config.get("vocab_size", 0) < 256:
-            errors.append(f"vocab_size too small: {config.get('vocab_size')}")
+            errors.append(f"a vocabulary of {config.get('vocab_size')} can't hold all bytes")
         if not isinstance(config.get("special_tokens"), list):
-            errors.append("special_tokens must be a list")
+            errors.append("the configuration's special tokens are no list")
     ids: set[int] = set()
     if vocab is not None:
         ids = {int(i) for i in vocab}
         order = sorted(ids)
-        warnings += [f"Vocabulary IDs are not contiguous: gap at {a}" for a, b in zip(order, order[1:], strict=False) if b != a + 1]
+        warnings += [f"ids are missing after {a}" for a, b in zip(order, order[1:], strict=False) if b != a + 1]
         for i, t in vocab.items():
-            errors += [f"Token {i} missing '{f}' field" for f in ("bytes", "type") if f not in t]
+            errors += [f"token {i} lacks {f}" for f in ("bytes", "type") if f not in t]
             if "type" in t and t["type"] not in ("special", "byte", "bpe"):
-                errors.append(f"Token {i} has invalid type: {t['type']}")
+                errors.append(f"token {i} is of unknown type {t['type']}")
             if "bytes" in t and not re.fullmatch(r"([0-9a-fA-F]{2})*", str(t["bytes"])):
-                errors.append(f"Token {i} has invalid hex bytes: {t['bytes']}")
+                errors.append(f"the bytes of token {i} are no hexadecimal: {t['bytes']}")
     if merges is not None:
         ranks = [m.get("rank") for m in merges]
         if len(set(ranks)) < len(ranks):
-            errors.append("Merges contain duplicate ranks")
+            errors.append("two merges share a rank")
         if None not in ranks and ranks != sorted(ranks):
-            errors.append("Merges are not ordered by rank")
+            errors.append("ranks don't ascend")
         for i, m in enumerate(merges):
-            errors += [f"Merge {i} missing field: {f}" for f in ("rank", "left", "right", "new_token_id", "frequency") if f not in m]
+            errors += [f"merge {i} lacks {f}" for f in ("rank", "left", "right", "new_token_id", "frequency") if f not in m]
             if m.get("rank") != i:
-                errors.append(f"Merge {i} has incorrect rank: {m.get('rank')}")
+                errors.append(f"merge {i} says rank {m.get('rank')}")
             if m.get("frequency", 0) < 0:
-                errors.append(f"Merge {i} has negative frequency")
+                errors.append(f"the frequency of merge {i} is below 0")
     if config is not None and vocab is not None and merges is not None:
         if len(vocab) != config.get("vocab_size"):
             # training that stops early, or reuses an id, ends below the target; the tokenizer is sound
-            warnings.append(f"Vocabulary size ({len(vocab)}) does not match config ({config.get('vocab_size')})")
+            warnings.append(f"{len(vocab)} tokens where {config.get('vocab_size')} were asked for")
         specials = sum(t.get("type") == "special" for t in vocab.values())
         if specials != len(config.get("special_tokens") or []):
-            errors.append(f"Special token count mismatch: {specials}")
+            errors.append(f"{specials} special tokens in the vocabulary, {len(config.get('special_tokens') or [])} in the configuration")
         for m in merges:
-            errors += [f"Merge references non-existent {side} token ID: {m.get(f)}" for side, f in (("left", "left"), ("right", "right"), ("new", "new_token_id")) if f in m and m[f] not in ids]
+            errors += [f"the {side} token {m.get(f)} of a merge doesn't exist" for side, f in (("left", "left"), ("right", "right"), ("new", "new_token_id")) if f in m and m[f] not in ids]
     return {"is_valid": not errors, "errors": errors, "warnings": warnings}

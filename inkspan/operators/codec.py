@@ -110,6 +110,24 @@ class Tokenizer:
     def decode_with_special_tokens(self, ids: Column) -> Column:
         return self.decode(ids, special=True)
 
+    # --- bytes alone
+
+    def byte_encode(self, text: Column) -> Column:
+        """Base ids of the UTF-8 bytes, without merges; native."""
+        k = self.vocabulary.base_byte_start
+        return F.transform(F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != ""), lambda c: F.ascii(c) + k)
+
+    def byte_encode_document(self, text: Column) -> Column:
+        v = self.vocabulary
+        return F.concat(F.array(F.lit(v.special_id("<DOCUMENT_START>"))), self.byte_encode(text), F.array(F.lit(v.special_id("<DOCUMENT_END>"))))
+
+    def byte_decode(self, ids: Column) -> Column:
+        """Text of base ids; special ids are dropped, ids beyond the bytes and bytes that are no UTF-8 raise; native."""
+        k = self.vocabulary.base_byte_start
+        one = lambda i: F.when(i >= k + 256, F.raise_error(F.concat(F.lit("no byte: id "), i.cast("string")))).otherwise(F.char(i - k))
+        chars = F.transform(F.filter(ids, lambda i: i >= k), one)
+        return F.decode(F.encode(F.array_join(chars, ""), "ISO-8859-1"), "UTF-8")
+
     # --- lookups
 
     def inspect_merges(self, spark: SparkSession, n: int = 10) -> DataFrame:

@@ -33,13 +33,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete the tables that :func:`durable` wrote in this process; results that still read them must be consumed first."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def written() -> int:
+    """How many tables :func:`durable` has written and not forgotten in this process."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the tables that :func:`durable` wrote from number ``since`` on, but the last ``but``; returns how many.
+
+    Results that still read them must be consumed first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _written[since : len(_written) - but]
+    del _written[since : len(_written) - but]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)
 
 
 def running_totals(df: DataFrame, order: list[str], size: str, partitions: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ The driver's tables lack tables, XBRL tags and headings, so queries for those wr
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from inkspan.functions import text as T
 from inkspan.functions.decode import entities
 from inkspan.operators import bpe, checks, cleaning, profile, splits
 from inkspan.operators.codec import Tokenizer
+from inkspan.operators.durable import shared_dir
 from inkspan.operators.vocabulary import Merges, Vocabulary
 from inkspan.plans.config import Ingestion, Preparation, Tokenizer as TokenizerConfig
 from inkspan.sources import files
@@ -381,6 +383,15 @@ def metadata_last_wins(spark, d):
     return files.last_records(rows).select("document_id", "cleaned_length", "status")
 
 
+@query("select item_id, text || chr(10) as text from benchmark")
+def discover_load(spark, d):
+    """Benchmark texts written as a folder of text files, one a subfolder, and loaded in the order of their paths."""
+    path = f"{shared_dir(spark)}/inkspan-tables/{uuid.uuid4().hex}"
+    _read(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
+    found = files.load_documents(spark, path)
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "text")
+
+
 @query("select (item_id % 4)::bigint as archive_no, item_id, 'item.txt' as base_name, text from benchmark")
 def zip_extract(spark, d):
     """Benchmark texts zipped by four, all members of one name, and unpacked again."""
@@ -508,6 +519,25 @@ def bpe_decode_roundtrip(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.decode(t.encode(F.col("text"))).alias("text"))
 
 
+_BYTES = "array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::int + 3), ' ')"
+
+
+@query(f"select doc_id, {_BYTES} as ids from documents")
+def byte_encode(spark, d):
+    return _read(spark, d, "documents").select("doc_id", _joined(Tokenizer().byte_encode(F.col("text"))).alias("ids"))
+
+
+@query(f"select doc_id, '0 ' || {_BYTES} || ' 1' as ids from documents")
+def byte_encode_document(spark, d):
+    return _read(spark, d, "documents").select("doc_id", _joined(Tokenizer().byte_encode_document(F.col("text"))).alias("ids"))
+
+
+@query("select doc_id, text from documents")
+def byte_decode(spark, d):
+    t = Tokenizer()
+    return _read(spark, d, "documents").select("doc_id", t.byte_decode(t.byte_encode_document(F.col("text"))).alias("text"))
+
+
 @query("select item_id, '<DOCUMENT_START>' || text || '<DOCUMENT_END>' as text from benchmark where regexp_full_match(text, '[\\x00-\\x7f]*')")
 def bpe_decode_special(spark, d):
     t = fixed_tokenizer()

@@ -157,6 +157,21 @@ def test_decoding_edges(spark):
         spark.createDataFrame([([3 + 0xC3],)], "ids array<int>").select(t.decode(F.col("ids"))).collect()
 
 
+def test_bytes_alone(spark):
+    t = Tokenizer()
+    texts = ["", "a\x00b", "€é", None]
+    df = _frame(spark, texts)
+    got = df.select("i", t.byte_encode(F.col("text")).alias("e"), t.byte_encode_document(F.col("text")).alias("d"), t.byte_decode(t.byte_encode_document(F.col("text"))).alias("b")).orderBy("i").collect()
+    for x, r in zip(texts, got, strict=True):
+        if x is None:
+            assert r["e"] is None and r["b"] is None
+        else:
+            assert list(r["e"]) == [3 + b for b in x.encode()] and list(r["d"]) == [0, *r["e"], 1] and r["b"] == x
+    for bad in ([3 + 256], [3 + 0xC3]):
+        with pytest.raises(Exception, match="(?i)no byte|malformed"):
+            spark.createDataFrame([(bad,)], "ids array<int>").select(t.byte_decode(F.col("ids"))).collect()
+
+
 def test_vocabulary_and_merges():
     v = Vocabulary()
     assert (len(v), v.base_byte_start, v.bpe_start, v.max_special_id) == (259, 3, 259, 2)
