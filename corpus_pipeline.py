@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkspan import reach_workers
-from inkspan.llm import common, jaccard_join, language_id, mixing, packing, substring_dedup
+from inkspan.llm import jaccard_join, language_id, mixing, packing, substring_dedup
+from inkspan.operators import durable
 
 #: Cosine 0 with the nearest profile.
 LEAST_SCORE = 0.5
@@ -59,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written before the next; what a stage leaves behind but its result is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), durable.written()
     for _, stage in STAGES:
-        docs = common.durable(stage(spark, docs, sf_dir))
+        docs = durable.durable(stage(spark, docs, sf_dir))
+        durable.forget(spark, since=before, but=1)
     return docs
