@@ -81,7 +81,7 @@ def test_run_and_empty(spark, tmp_path):
 def test_stages_take_odd_rows(edge, spark):
     docs = edge
     for n, stage in P.STAGES[:4]:
-        docs = P.common.durable(stage(spark, docs, ""))
+        docs = P.durable.durable(stage(spark, docs, ""))
         assert docs.columns == edge.columns, n
     assert P.pack(spark, docs, "").count() == docs.count()
 
