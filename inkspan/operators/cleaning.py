@@ -54,11 +54,13 @@ def clean(docs: DataFrame, text: str = "text", doc_id: str = "document_id") -> D
 def mark_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_idx", doc_id: str = "document_id") -> DataFrame:
     """Adds content_hash, is_duplicate and duplicate_of: of equal normalised texts, the first in ``order`` is the original.
 
-    The originals are a partly aggregated minimum by hash, joined back, so no copy group is gathered in a window.
+    The originals are a partly aggregated minimum by hash, joined back, so no copy group is gathered in a window, and the
+    join of a text with very many copies can be split.
     """
     hashed = docs.withColumn("content_hash", T.dedup_hash(F.col(text)))
     first = hashed.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("o"), F.col(doc_id).alias("id"))).alias("__first"))
-    joined = hashed.join(first, "content_hash")
+    # dealt anew, so the join has an exchange of its own on both sides, which adaptive execution can split at a hot hash
+    joined = hashed.join(first.hint("rebalance"), "content_hash")
     dup = F.col(order) != F.col("__first.o")
     return joined.withColumns({"is_duplicate": dup, "duplicate_of": F.when(dup, F.col("__first.id"))}).drop("__first")
 
