@@ -17,7 +17,8 @@ A window thus counts as repeated exactly if its words also start elsewhere (up t
 is a run of words that repeated windows cover. All decisions are made on the input, not on what is left.
 
 At scale: one exchange of (anchor, phrase) pairs that are partly aggregated first, one of (anchor, document) pairs as a
-join that adaptive execution can split at hot anchors, one of the texts. Nothing is broadcast or collected, no group is
+join that adaptive execution can split at hot anchors (the counts are dealt anew before it, so both sides have exchanges of
+their own), one of the texts. Nothing is broadcast or collected, no group is
 gathered: counts only, except for the list of its own anchors that each document gets back.
 
 Defined results: a null text has no words; text shorter than a window loses nothing; rows that repeat an id or a whole row
@@ -193,12 +194,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     phrases = base.select(text).mapInArrow(_phrases(text, window, gram), "anchor long, content long")
     index = phrases.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n >= 2").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"))
     asked = narrow.mapInArrow(_anchors(key, text, window, gram), f"anchor long, `{key}` long")
-    found = C.durable(asked.join(index, "anchor").groupBy(key).agg(F.collect_list(F.when(~F.col("differ"), F.col("anchor"))).alias("__whole"), F.collect_list(F.when(F.col("differ"), F.col("anchor"))).alias("__boundary")))
+    found = C.durable(asked.join(index.hint("rebalance"), "anchor").groupBy(key).agg(F.collect_list(F.when(~F.col("differ"), F.col("anchor"))).alias("__whole"), F.collect_list(F.when(F.col("differ"), F.col("anchor"))).alias("__boundary")))
 
     edges = base.join(found.where(F.size("__boundary") > 0).select(key, "__boundary").hint("shuffle_hash"), key)
     windows = C.durable(edges.select(key, text, "__boundary").mapInArrow(_boundary_windows(key, text, window, gram), f"window long, `{key}` long, times long"))
     again = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n >= 2").select("window")
-    single = windows.join(again, "window").groupBy(key).agg(F.collect_list("window").alias("__windows"))
+    single = windows.join(again.hint("rebalance"), "window").groupBy(key).agg(F.collect_list("window").alias("__windows"))
 
     full = base.join(found.select(key, "__whole").hint("shuffle_hash"), key, "left").join(single.hint("shuffle_hash"), key, "left")
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType(), "spans": T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))}
