@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating star contraction, without gathering any component.
 
 Large-star links every neighbour that is larger than a vertex to the least vertex it sees; small-star does so with the
-smaller ones. Both are an aggregate (partly aggregated before its exchange) and a join with the edges, which adaptive
-execution can split at a hot vertex. Each round is written to the shared folder; rounds go as the logarithm of the
+smaller ones. Both are an aggregate (partly aggregated before its exchange) and a join with the edges; the aggregate is dealt
+anew first, so that adaptive execution can split the join at a hot vertex. Each round is written to the shared folder; rounds go as the logarithm of the
 longest path.
 """
 
@@ -25,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = C.durable(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = C.durable(both.where("v > u").join(least.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        linked = large.join(small.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = C.durable(linked.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         after = _state(edges)
         if after == before:

@@ -274,7 +274,7 @@ def near_groups(prints: DataFrame, threshold: float = 0.7, bands: int = 24, rows
 
     banded = nodes.mapInArrow(band, "band string, node long")
     least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
-    pairs = banded.join(least, "band").where("node <> least").select("node", "least").distinct()
+    pairs = banded.join(least.hint("rebalance"), "band").where("node <> least").select("node", "least").distinct()
     checked = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("fp2")), "least")
     roots = components(checked.where(alike("fp", "fp2") >= threshold).select(F.col("node").alias("u"), F.col("least").alias("v")))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("class_id"))

@@ -18,7 +18,8 @@ words, or null, has none: it links to nothing and is a class of its own. Rows th
 their own; class_id is the least id in the class (null only if no member has an id). An empty table gives an empty one.
 
 At scale: the texts are scanned once for sketches and exchanged once to verify candidates; all else is narrow. Nothing is
-collected but row counts and checksums. Node sizes are known before rows are gathered, so no task gets more than two blocks.
+collected but row counts and checksums. Counts are dealt anew before they are joined back, so that adaptive execution can
+split these joins at a hot key. Node sizes are known before rows are gathered, so no task gets more than two blocks.
 """
 
 from __future__ import annotations
@@ -271,7 +272,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     leaves = []
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        level_rows = C.durable(rows.join(sizes, "path"))
+        level_rows = C.durable(rows.join(sizes.hint("rebalance"), "path"))
         leaves.append(level_rows if level == depth else level_rows.where(F.col("size") <= leaf))
         large = level_rows.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
@@ -285,7 +286,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     links = placed.select("path", "pair", "block", "node", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
 
     comps = C.durable(components(links).withColumnRenamed("root", "comp"))
-    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").join(sets.select("node", "rep", "n_docs"), "node")
+    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "rep", "n_docs"), "node")
     texts = narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("rep")))
     checked = _in_blocks(texts, "size", BLOCK).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     exact = C.durable(checked.select("comp", "pair", "blocks", "block", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), "comp long, blocks int, node long, root long, links long"))
@@ -297,7 +298,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     facts = sets.select("node", "rep", "n_docs").join(roots, "node", "left").join(counts, "node", "left")
     facts = facts.select("node", F.coalesce("root", "node").alias("root"), "rep", "n_docs", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     classes = facts.groupBy("root").agg(F.min("rep").alias("class_id"))
-    facts = facts.join(classes, "root").select("node", "root", "class_id", "n_links", "n_docs")
+    facts = facts.join(classes.hint("rebalance"), "root").select("node", "root", "class_id", "n_links", "n_docs")
     own = F.col(key)
     out = members.select(key, "text_hash", "node", "n").join(facts, "node", "left")
     return out.select(own.alias(doc_id), F.when(F.col("n") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("n") > 0, F.col("n_docs")), F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("root")).alias("class_key"), "text_hash")
