@@ -60,8 +60,9 @@ def mark_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_idx",
     hashed = docs.withColumn("content_hash", T.dedup_hash(F.col(text)))
     first = hashed.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("o"), F.col(doc_id).alias("id"))).alias("__first"))
     # dealt anew, so the join has an exchange of its own on both sides, which adaptive execution can split at a hot hash
-    joined = hashed.join(first.hint("rebalance"), "content_hash")
-    dup = F.col(order) != F.col("__first.o")
+    joined = hashed.join(first.hint("rebalance"), "content_hash", "left")
+    # a null text has no hash and is nobody's copy
+    dup = F.coalesce(F.col(order) != F.col("__first.o"), F.lit(False))
     return joined.withColumns({"is_duplicate": dup, "duplicate_of": F.when(dup, F.col("__first.id"))}).drop("__first")
 
 

@@ -37,6 +37,11 @@ def test_report_and_running_totals(spark):
     assert cleaning.cleaning_report(found.limit(0)).first()["documents_processed"] == 0
 
 
+def test_null_texts_are_no_copies(spark):
+    got = {r["doc_idx"]: (r["is_duplicate"], r["duplicate_of"]) for r in cleaning.mark_duplicates(_docs(spark).union(_docs(spark).where("text is null").selectExpr("doc_idx + 9", "document_id", "text"))).collect()}
+    assert got[3] == got[12] == (False, None) and len(got) == 6
+
+
 def test_failure_is_alone():
     class Odd(str):
         def __contains__(self, x):
