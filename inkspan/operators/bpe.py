@@ -113,8 +113,8 @@ class Training:
     statistics: dict
 
 
-def next_batch(ranked: list[tuple[int, int, int]], complete: bool, vocabulary: Vocabulary, merges: Merges, most: int, least: int) -> list[Merge]:
-    """Record the merges that are sure to come next. ranked: (left, right, freq), best first; complete: there are no others."""
+def next_batch(ranked: list[tuple[int, int, int]], vocabulary: Vocabulary, merges: Merges, most: int, least: int) -> list[Merge]:
+    """Record the merges that are sure to come next. ranked: the most frequent (left, right, freq), best first."""
     out: list[Merge] = []
     lefts: set[int] = set()
     rights: set[int] = set()
@@ -142,7 +142,7 @@ def train(docs: DataFrame, config: Tokenizer | None = None, text: str = "text",
     held: DataFrame | None = None
     while len(merges) < cap and (rounds is None or done < rounds):
         top = [tuple(r) for r in pair_counts(tokens, specials).orderBy(F.desc("freq"), "left", "right").limit(TOP).collect()]
-        batch = next_batch(top, len(top) < TOP, vocabulary, merges, cap - len(merges), config.min_frequency)
+        batch = next_batch(top, vocabulary, merges, cap - len(merges), config.min_frequency)
         if not batch:
             break
         done += 1

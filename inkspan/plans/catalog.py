@@ -283,9 +283,10 @@ def split_hash_company(spark, d):
     return splits.split_companies(_docs(spark, d), Preparation("company")).select(F.col("doc_idx").alias("doc_id"), "ticker", "split")
 
 
-@query(f"select doc_id, {_CUT} as split from (select doc_id, row_number() over (order by doc_id % 1461, doc_id) - 1 as r, count(*) over () as n from documents where doc_id % 7 <> 0)")
+@query(f"select doc_id, {_CUT} as split from (select doc_id, row_number() over (order by doc_id % 1461, doc_id) - 1 as r, count(*) over () as n from documents where source <> 'src3')")
 def split_temporal(spark, d):
-    docs = _docs(spark, d).withColumn("filing_date", F.when(F.col("doc_idx") % 7 != 0, F.col("filing_date")).otherwise("no date"))
+    """Documents of one source have no valid date, so no split has them."""
+    docs = _docs(spark, d).withColumn("filing_date", F.when(F.col("ticker") != "src3", F.col("filing_date")).otherwise("no date"))
     return splits.split_temporal(docs, Preparation("temporal")).select(F.col("doc_idx").alias("doc_id"), "split")
 
 
@@ -305,12 +306,12 @@ def split_stats(spark, d):
 
 
 def _leaky(spark, d):
-    """A document split in which every 50th training document is also in test."""
+    """A document split in which one source's training documents are also in test."""
     placed = splits.split_documents(_docs(spark, d), Preparation("document"))
-    return placed.unionByName(placed.where("split = 'train' and doc_idx % 50 = 0").withColumn("split", F.lit("test")))
+    return placed.unionByName(placed.where("split = 'train' and ticker = 'src5'").withColumn("split", F.lit("test")))
 
 
-_LEAKY = f"p as (select * from ({_BY_DOCUMENT})), q as (select * from p union all select * replace ('test' as split) from p where split = 'train' and doc_id % 50 = 0)"
+_LEAKY = f"p as (select * from ({_BY_DOCUMENT})), q as (select * from p union all select * replace ('test' as split) from p where split = 'train' and ticker = 'src5')"
 
 
 def _overlaps_sql(key: str, name: str) -> str:
@@ -328,9 +329,12 @@ def manifest(spark, d):
     return splits.manifest(splits.split_documents(_docs(spark, d), Preparation("document")))
 
 
-@query(f"with {_LEAKY} select (select count(*) from documents where doc_id % 9 <> 0) * 0 as missing_documents, (select count(*) from documents where doc_id % 9 = 0) as extra_documents, {_overlaps_sql('document_id', 'document')}, false as is_valid")
+@query(f"with {_LEAKY} select (select count(*) from documents where length(text) < 100) as missing_documents, (select count(distinct source) from documents) as extra_documents, {_overlaps_sql('document_id', 'document').replace('from q where', 'from q where length(text) >= 100 and')}, false as is_valid")
 def manifest_validate(spark, d):
-    return splits.validate_manifest(splits.manifest(_leaky(spark, d)), _docs(spark, d).where("doc_idx % 9 <> 0"))
+    """A leaky manifest that lacks short documents and lists an unknown one for each source, held against all documents."""
+    listed = splits.manifest(_leaky(spark, d).where(F.length("text") >= 100))
+    ghosts = _docs(spark, d).select(F.lit("train").alias("split"), F.concat(F.lit("ghost_"), "ticker").alias("document_id")).distinct()
+    return splits.validate_manifest(listed.unionByName(ghosts), _docs(spark, d))
 
 
 @query("select document_id, split, length from (select 'doc_' || lpad(doc_id::varchar, 6, '0') as document_id, length(text)::bigint as length from documents) join (select document_id, split from (" + _BY_DOCUMENT + ")) using (document_id)")
@@ -348,11 +352,11 @@ def corpus_facts(spark, d):
     return checks.corpus_facts(_docs(spark, d))
 
 
-@query("select count(*) as documents_loaded, count(*) filter (where not failed and length(text) >= 100) as documents_valid, count(*) filter (where not failed and length(text) < 100) as documents_skipped, count(*) filter (where failed) as documents_failed, count(*) filter (where off) as length_mismatches from (select text, coalesce(quality = 0, false) as failed, doc_id % 11 = 0 as off from documents left join labels using (doc_id))")
+@query("select count(*) as documents_loaded, count(*) filter (where not failed and length(text) >= 100) as documents_valid, count(*) filter (where not failed and length(text) < 100) as documents_skipped, count(*) filter (where failed) as documents_failed, count(*) filter (where off) as length_mismatches from (select text, coalesce(quality = 0, false) as failed, source = 'src1' as off from documents left join labels using (doc_id))")
 def validate_documents(spark, d):
     """Documents joined with metadata on the left; labels stand in for it."""
     meta = _read(spark, d, "labels").select(F.col("doc_id").alias("doc_idx"), F.when(F.col("quality") == 0, "failed").otherwise("success").alias("status"))
-    docs = _docs(spark, d).join(meta, "doc_idx", "left").withColumn("cleaned_length", F.length("text") + F.when(F.col("doc_idx") % 11 == 0, 200).otherwise(0))
+    docs = _docs(spark, d).join(meta, "doc_idx", "left").withColumn("cleaned_length", F.length("text") + F.when(F.col("ticker") == "src1", 200).otherwise(0))
     return checks.validate_documents(docs)
 
 
@@ -538,10 +542,12 @@ def byte_decode(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.byte_decode(t.byte_encode_document(F.col("text"))).alias("text"))
 
 
-@query("select item_id, '<DOCUMENT_START>' || text || '<DOCUMENT_END>' as text from benchmark where regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("select item_id, '<DOCUMENT_START>' || regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') || '<DOCUMENT_END>' as text from benchmark")
 def bpe_decode_special(spark, d):
+    """Each token is decoded alone, so characters that no token holds whole are replaced first."""
     t = fixed_tokenizer()
-    return _read(spark, d, "benchmark").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("item_id", t.decode_with_special_tokens(t.encode_with_special_tokens(F.col("text"))).alias("text"))
+    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
+    return _read(spark, d, "benchmark").select("item_id", t.decode_with_special_tokens(t.encode_with_special_tokens(plain)).alias("text"))
 
 
 @query("select i as id, case when i < 3 then ['3c444f43554d454e545f53544152543e', '3c444f43554d454e545f454e443e', '3c554e4b3e'][i + 1] else right('0' || lower(to_hex(i - 3)), 2) end as bytes, case when i < 3 then 'special' else 'byte' end as type from (select unnest(range(0, 259))::int as i)")

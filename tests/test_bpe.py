@@ -77,7 +77,7 @@ def test_batches_equal_single_rounds():
         while len(merges) < 10:
             counts = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
             ranked = sorted(((a, b, n) for (a, b), n in counts.items()), key=lambda x: (-x[2], x[0], x[1]))
-            batch = bpe.next_batch(ranked, True, v, merges, 10 - len(merges), 2)
+            batch = bpe.next_batch(ranked, v, merges, 10 - len(merges), 2)
             if not batch:
                 break
             for m in batch:
