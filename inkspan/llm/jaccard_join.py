@@ -229,7 +229,7 @@ def _verify(text: str, shingle: int, threshold: float) -> Callable:
                 sizes, some, nodes = _nodes(values, first)
                 own = np.zeros(len(node), np.int64)
                 own[some] = nodes.view(np.int64)
-                # rows that only share an id with the document meant go, and so do repeats of it
+                # a row whose text only shares the hash of the one meant goes
                 _, one = np.unique(node, return_index=True) if (own == node).all() else (0, np.array([np.flatnonzero((node == x) & (own == x))[0] for x in np.unique(node[own == node])], np.int64))
                 if len(one) < len(node):
                     values = np.concatenate([values[first[d] : first[d + 1]] for d in one])
@@ -264,9 +264,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     of similarity ``threshold`` or more, copies included), n_copies (documents with the same shingles, itself included), and
     for :func:`keep_one` class_key (the class, whatever its ids; null without words) and text_hash."""
     key = "__key"
-    narrow = docs.select(F.col(doc_id).cast("long").alias(key), F.col(text).alias("__text"))
-    members = C.durable(narrow.withColumn("text_hash", F.xxhash64("__text")).mapInArrow(_sketches(key, "__text", shingle), f"{key} long, text_hash long, node long, n long, sketch binary"))
-    sets = C.durable(members.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    narrow = docs.select(F.col(doc_id).cast("long").alias(key), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    members = C.durable(narrow.mapInArrow(_sketches(key, "__text", shingle), f"{key} long, text_hash long, node long, n long, sketch binary"))
+    sets = C.durable(members.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), F.min(F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("id"), F.col("text_hash").alias("hash"))).alias("row"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     rows = sets.select("node", "sketch").mapInArrow(_roots(runs_for(recall, depth, threshold)), "path long, node long")
     leaves = []
@@ -286,8 +286,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     links = placed.select("path", "pair", "block", "node", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
 
     comps = C.durable(components(links).withColumnRenamed("root", "comp"))
-    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "rep", "n_docs"), "node")
-    texts = narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("rep")))
+    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "row.id", "row.hash", "n_docs"), "node")
+    # rows that repeat the representative, id and text, are one before they are gathered
+    texts = narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"])
     checked = _in_blocks(texts, "size", BLOCK).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     exact = C.durable(checked.select("comp", "pair", "blocks", "block", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), "comp long, blocks int, node long, root long, links long"))
     counts = exact.groupBy("node").agg(F.sum("links").alias("links"))
