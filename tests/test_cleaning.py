@@ -64,3 +64,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cleaned").where("doc_idx = 0").first()["text"] == "Revenue & costs"
+
+
+def test_stream_keeps_first_copies(spark, tmp_path):
+    rows = spark.sql("select * from values (timestamp'2024-01-01 00:00:00', 'A  b'), (timestamp'2024-01-01 00:00:01', 'a B '), (timestamp'2024-01-01 00:00:02', 'c') as t(ts, text)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, text string").parquet(str(tmp_path / "in"))
+    q = clean_stream.first_copies(stream, "ts").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("firsts").count() == 2
