@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkspan import reach_workers
+from inkspan import reach_workers, small_batches
 from inkspan.llm import jaccard_join, language_id, mixing, packing, substring_dedup
 from inkspan.operators import durable
 
@@ -24,6 +24,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
+    small_batches(spark)
     found = language_id.identify(docs, language_id.learn(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -31,11 +32,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
+    small_batches(spark)
     return jaccard_join.keep_one(docs, jaccard_join.jaccard_join(docs)).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
+    small_batches(spark)
     found = substring_dedup.substring_dedup(docs)
     cut = F.col("n_removed") > 0
     kept = found.where(~(cut & (F.col("n_removed") == F.col("n_words"))))
