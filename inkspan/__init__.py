@@ -20,5 +20,5 @@ def reach_workers(spark) -> None:
 def small_batches(spark, size: str = "16m") -> None:
     """Lower the bytes of an Arrow batch to ``size``, unless the session has a limit of its own; workers then hold less at once."""
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 26
-    if spark.conf.get(key, "").rstrip("b") == str(default):
+    if spark.conf.get(key).rstrip("b") == str(default):
         spark.conf.set(key, size)
