@@ -70,6 +70,18 @@ MOVES = _moves()
 _MOVES_FLAT = MOVES.tobytes()
 
 
+def _longest_stay() -> int:
+    """The most steps that a character can take, the one that moves on included, at whatever step it is reached."""
+    stay, longest = np.zeros(CLASSES - 1, np.int64), 0
+    for row in np.concatenate([MOVES, MOVES])[:, 1:]:
+        stay = np.where(row, 0, stay + 1)
+        longest = max(longest, int(stay.max()))
+    return longest + 1
+
+
+STAY = _longest_stay()
+
+
 def fingerprints(texts: list[np.ndarray]) -> list[str]:
     """Fingerprints of texts, given as arrays of code points."""
     if not texts:
@@ -101,7 +113,8 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     symbols[ends] = 0
     del points, classes, grams
 
-    n_samples = int(np.searchsorted(PLACES, 6 * int(lengths.max()) + 64))
+    # no walk has more than STAY steps a character, and lanes go on to the end of their last 256 steps
+    n_samples = int(np.searchsorted(PLACES, 256 * max(1, -(-STAY * int(lengths.max()) // 256))))
     out = np.zeros((len(texts), n_samples), np.uint8)
     active = np.argsort(-lengths, kind="stable")
     active = active[lengths[active] > 0]

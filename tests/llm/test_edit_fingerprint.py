@@ -38,6 +38,27 @@ def test_fingerprints_equal_the_plain_walk():
     assert E.fingerprints([]) == []
 
 
+def test_many_short_texts():
+    rng = random.Random(4)
+    texts = list(dict.fromkeys("".join(rng.choice("abcdefghij é") for _ in range(1 + i % 20)) for i in range(200)))
+    assert len(texts) >= 100 and E.fingerprints([E._points(t) for t in texts]) == [walk(t) for t in texts]
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_slowest_texts(copies):
+    letters = {}
+    for p in range(33, 3000):
+        letters.setdefault((((p + 1) * 2654435761 % 2**32) >> 20) % (E.CLASSES - 1) + 1, chr(p))
+    slow, step = "", 0
+    while len(slow) < 400:  # each letter is the one that stays longest from its step on
+        stays = {c: next(n for n in range(E.PERIOD) if E.MOVES[(step + n) % E.PERIOD][c]) + 1 for c in letters}
+        c = max(stays, key=stays.get)
+        slow, step = slow + letters[c], step + stays[c]
+    assert 6 * len(slow) + 64 < step <= E.STAY * len(slow)
+    texts = [slow[: len(slow) - i] for i in range(copies)]
+    assert E.fingerprints([E._points(t) for t in texts]) == [walk(t) for t in texts]
+
+
 def test_likeness_follows_edits():
     rng = random.Random(2)
     base = "".join(rng.choice("abcdefghij klmno") for _ in range(3000))
