@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkspan.llm import common as C, packing as P
 
@@ -52,6 +54,16 @@ def test_long_lengths_are_rounded(spark, monkeypatch):
     assert len(got) == 50 and all(r["padding"] >= 0 for r in got) and len({r["bucket"] for r in got}) <= 4
 
 
+def test_one_huge_text_leaves_the_bounds_exact(spark):
+    lengths = [*(1 + i % 100 for i in range(300)), 7 * P.BINS + 5]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    got = P.pack(rows.withColumn("text", F.lit(None).cast("string")), buckets=4, tokens=F.col("n")).collect()
+    hist = sorted(Counter(lengths).items())
+    tops = [x for x, _ in hist[:-1]]
+    best = min(padding(hist, (*c, hist[-1][0])) for c in itertools.combinations(tops, 3))
+    assert {r["bucket_len"] for r in got} <= set(lengths) and sum(r["padding"] for r in got) == best
+
+
 def test_edges(edge, empty):
     got = P.pack(edge).collect()
     want = sorted(len(re.findall(C.WORD_PATTERN, r["text"] or "")) for r in edge.collect())
