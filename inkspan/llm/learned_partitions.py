@@ -185,6 +185,9 @@ def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id
     placed = C.durable(rows.mapInArrow(place, "id long, v array<double>, q boolean, part int"))
     held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     sizes = np.array([held.get(p, 0) for p in range(parts)])
+    # rows of an id may lie in several parts: each id counts in one, so that any parts hold as many ids as they count, or more
+    home = {r["part"]: r["count"] for r in placed.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect()}
+    ids_in = np.array([home.get(p, 0) for p in range(parts)])
     asking = placed.where("q").groupBy("id").agg(F.min("v").alias("v"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +196,8 @@ def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id
                 continue
             order = np.argsort(-index.value.probabilities(units(_matrix(batch.column("v"), width))), axis=1, kind="stable")
             # the last part asked is the first by which enough candidates are in reach, the query itself aside
-            enough = (np.cumsum(sizes[order], axis=1) > k).argmax(axis=1)
-            enough[~(np.cumsum(sizes[order], axis=1) > k).any(axis=1)] = parts - 1
+            enough = (np.cumsum(ids_in[order], axis=1) > k).argmax(axis=1)
+            enough[~(np.cumsum(ids_in[order], axis=1) > k).any(axis=1)] = parts - 1
             last = np.maximum(enough, probes - 1)
             for p in range(parts):
                 take = np.flatnonzero((np.take_along_axis(np.argsort(order, axis=1), np.full((len(order), 1), p), 1)[:, 0] <= last) & (sizes[p] > 0))
@@ -218,13 +221,15 @@ def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id
         xi, yi = np.asarray(left.column("id")), np.asarray(right.column("id"))
         order = np.argsort(yi, kind="stable")
         y, yi = y[order], yi[order]
+        heads = np.flatnonzero(np.concatenate([[True], yi[1:] != yi[:-1]]))  # the first row of each id
         nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
         out = []
         for at in range(0, len(x), 512):
             rough = (x[at : at + 512] / nx[at : at + 512, None]) @ (y / ny[:, None]).T
             rough[xi[at : at + 512, None] == yi[None, :]] = -4
-            m = min(k, len(y))
-            least = -np.partition(-rough, m - 1, axis=1)[:, m - 1]
+            each = rough if len(heads) == len(yi) else np.maximum.reduceat(rough, heads, axis=1)
+            m = min(k, len(heads))
+            least = -np.partition(-each, m - 1, axis=1)[:, m - 1]
             for i in range(len(rough)):
                 # the product's rounding depends on its blocks; what might be among the best is measured again, row by row
                 near = np.flatnonzero((rough[i] >= least[i] - 1e-9) & (rough[i] > -3))

@@ -67,6 +67,27 @@ def test_equal_vectors_ties_and_blocks(spark, monkeypatch, block):
         assert list(g.vec_id) == [v for v, _ in w] and list(g.score) == [s for _, s in w]
 
 
+def test_an_id_repeated_more_often_than_k(spark):
+    rng = np.random.default_rng(5)
+    near = np.array([1.0, 0.0, 0.0]) + rng.normal(size=(40, 3)) * 0.01
+    x = np.concatenate([[[1.0, 0.0, 0.0]], near, rng.normal(size=(19, 3))])
+    ids = np.array([0, *[7] * 40, *range(10, 29)])
+    got = A.search(_table(spark, ids, x), F.col("vec_id") == 0, recall=1.0).toPandas().sort_values("rank")
+    best = {}
+    for i, s in _brute(ids, x, ids == 0, k=len(ids))[0]:
+        best.setdefault(i, s)
+    want = sorted(best.items(), key=lambda w: (-w[1], w[0]))[:5]
+    assert list(zip(got.vec_id, got.score, strict=True)) == want
+
+
+def test_reach_counts_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b = (np.array(c) + rng.normal(size=(130, 3)) * 0.05 for c in ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]))
+    ids = np.array([0, *[7] * 127, 8, 9, *range(10, 140)])
+    got = A.search(_table(spark, ids, np.concatenate([a, b])), F.col("vec_id") == 0, recall=0.05).toPandas()
+    assert sorted(got["rank"]) == [1, 2, 3, 4, 5] and {7, 8, 9} <= set(got.vec_id)
+
+
 def test_edges(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, None), (2, [0.0, 0.0]), (100, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [-1.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0]), (7, [0.0, 1.0]), (0, [1.0, 0.0])]
