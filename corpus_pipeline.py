@@ -3,7 +3,7 @@
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir), works on all of ``docs`` and returns a frame
 that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents:
 
-1. language: texts without a language (no letter, or no likeness to any) go; a missing ``lang`` is filled by the prediction.
+1. language: texts without a language (no letter, or less like any than its labelled texts are) go; a missing ``lang`` is filled by the prediction.
 2. near_copies: of each class of documents that links of Jaccard similarity 0.8 connect, the one with the least id stays.
 3. repeated_passages: words under windows of 35 words that start elsewhere too are cut; what is left empty by that goes.
 4. mixture: documents are sampled by probabilities raked to targets of source, language and topic.
@@ -15,18 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkspan import reach_workers, small_batches
-from inkspan.llm import jaccard_join, language_id, mixing, packing, substring_dedup
+from inkspan.llm import common as C, jaccard_join, language_id, mixing, packing, substring_dedup
 from inkspan.operators import durable
 
-#: Cosine 0 with the nearest profile.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     small_batches(spark)
-    found = language_id.identify(docs, language_id.learn(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    prototypes, known = language_id.learn(docs), C.free_name(docs, "known")
+    found = language_id.identify(docs, prototypes, least=language_id.limits(docs, prototypes), known=known)
+    kept = found.where((F.col("lang_pred") != "und") & F.col(known))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -13,6 +13,11 @@ other letters share the rest, all that is not a letter is one gap. Words are pad
 Prototypes are learned from all learning rows, as exact integer sums by (language, place): DIM rows a language reach the
 driver. Prediction is a scan without an exchange.
 
+The score tells languages apart, not languages from other texts: of centred profiles one is always on a text's side. For that,
+:func:`identify` takes :func:`limits` and says whether a text is alike to a learned language at all: by the plain cosine of
+the language's prototype with the bundle of the text's ``COMMONEST`` distinct trigrams, so that repeats don't count. Limits are learned for
+each language and each doubling of distinct trigrams from all labelled rows, each against the prototype less its own part.
+
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and if nothing could be learned; ties go to
 the language first in code point order. Scores are (1 + cosine) / 2. Rows are independent: repeats get equal results, an
 empty table gives an empty one, and columns named like the results are replaced.
@@ -32,6 +37,15 @@ from . import common as C
 
 DIM, SYMBOLS, SEED = 1024, 128, 7
 _GAP, _PLAIN, _LATIN, _REST = 0, 1, 27, 60
+#: A limit is this share of the likeness that all but 5 % of a language's labelled texts reach, or less where they vary more.
+SHARE = 0.6
+#: Three standard deviations of the cosine of vectors that have nothing in common.
+FLOOR = 3 / DIM**0.5
+#: Labelled texts by which a size is measured; sizes with fewer go by the nearest one.
+LEAST_ROWS, CELLS = 20, 1024
+#: A text with more distinct trigrams is judged by so many that it has most often, ties in order of their codes.
+COMMONEST = 512
+SIZES = COMMONEST.bit_length()
 
 
 def _symbol_table() -> np.ndarray:
@@ -113,6 +127,22 @@ def bundles(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
+def profiles(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a chunk of texts, those of their distinct trigrams (units), the doublings of distinct trigrams, and which have a letter."""
+    counts, codes, has = trigram_counts(array)
+    some = (counts > 0).astype(np.float32)
+    for i in np.flatnonzero(some.sum(axis=1) > COMMONEST):
+        some[i] = 0
+        some[i, np.argsort(-counts[i], kind="stable")[:COMMONEST]] = 1
+    out, once = np.zeros((len(has), DIM)), np.zeros((len(has), DIM))
+    for at in range(0, len(codes), 4096):
+        vectors = bind(codes[at : at + 4096])
+        out += counts[:, at : at + 4096] @ vectors
+        once += some[:, at : at + 4096] @ vectors
+    once /= np.maximum(np.linalg.norm(once, axis=1, keepdims=True), 1e-12)
+    return out, once, np.log2(np.maximum(some.sum(axis=1), 1)).astype(np.int64), has
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes of the languages in ``lang``, over all rows where it isn't null."""
 
@@ -136,20 +166,66 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {k: out[k] for k in sorted(out)}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    names = [k for k, v in prototypes.items() if np.any(v)]
+def _names(prototypes: dict[str, np.ndarray]) -> list[str]:
+    return [k for k, v in prototypes.items() if np.any(v)]
+
+
+def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> np.ndarray:
+    """The least likeness of a text to each language, by doublings of distinct trigrams; ``docs``: the rows that ``prototypes`` were learned from."""
+    names = _names(prototypes)
+    index = {k: i for i, k in enumerate(names)}
+    total = np.array([prototypes[k] for k in names], np.float64).reshape(len(names), DIM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            for part in C.chunks(batch, "__text", 1 << 19):
+                label = np.array([index.get(x, -1) for x in part.column("__lang").to_pylist()], np.int64)
+                vectors, once, size, has = profiles(part.column("__text"))
+                ok = has & (label >= 0)
+                label, size = label[ok], size[ok]
+                others = total[label] - vectors[ok]
+                cosine = (once[ok] * others).sum(axis=1) / np.maximum(np.linalg.norm(others, axis=1), 1e-12)
+                cell = np.clip((cosine * CELLS).astype(np.int64), 0, CELLS - 1)
+                for key, n in zip(*np.unique((label * SIZES + size) * CELLS + cell, return_counts=True), strict=True):
+                    seen[int(key)] = seen.get(int(key), 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["cell", "n"])
+
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang")).mapInArrow(run, "cell long, n long")
+    held = np.zeros(len(names) * SIZES * CELLS, np.int64)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        held[r["cell"]] = r["n"]
+    held = held.reshape(len(names), SIZES, CELLS)
+    out = np.full((len(names), SIZES), FLOOR)
+    for i, of in enumerate(held):
+        n = of.sum(axis=1)
+        good = np.flatnonzero(n >= min(LEAST_ROWS, n.max()))
+        good = good[n[good] > 0]
+        for size in range(SIZES if len(good) else 0):
+            by = good[np.abs(good - size).argmin()]
+            low, half = (int(np.searchsorted(np.cumsum(of[by]), share * n[by])) / CELLS for share in (0.05, 0.5))
+            # fewer trigrams have a smaller cosine, as the root of their number; more of them add rare ones, which takes less away
+            out[i, size] = max(FLOOR, min(SHARE * low, 2 * low - half) * 2.0 ** (min(size - by, 0) / 2 - max(size - by, 0) / 4))
+    return out
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", least: np.ndarray | None = None, known: str = "known") -> DataFrame:
+    """``docs`` with lang_pred and score; with ``least``, the :func:`limits`, also whether a text reaches that of some language, as ``known``."""
+    names = _names(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), DIM)
     mean = unit.mean(axis=0) if len(names) > 1 else np.zeros(DIM)
     centred = unit - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
-    base = C.replace_columns(docs, {"lang_pred", "score"})
+    base = C.replace_columns(docs, {"lang_pred", "score"} | ({known} if least is not None else set()))
     fields = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.chunks(batch, text, 1 << 19):
-                vectors, has = bundles(part.column(text))
+                if least is None:
+                    vectors, has = bundles(part.column(text))
+                else:
+                    vectors, once, size, has = profiles(part.column(text))
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                 if names:
                     vectors -= mean
@@ -159,9 +235,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 ok = has & bool(names)
                 pred = [names[best[i]] if ok[i] else "und" for i in range(part.num_rows)]
                 out = np.where(ok, score, 0.0) if names else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*[part.column(f) for f in fields], pa.array(pred, pa.string()), pa.array(out, pa.float64())], names=[*fields, "lang_pred", "score"])
-
-    return base.mapInArrow(run, C.struct_of(base, [("lang_pred", T.StringType()), ("score", T.DoubleType())]))
+                made = [pa.array(pred, pa.string()), pa.array(out, pa.float64())]
+                if least is not None:
+                    made.append(pa.array(has & (once @ unit.T >= least.T[size]).any(axis=1)))
+                yield pa.RecordBatch.from_arrays([*[part.column(f) for f in fields], *made], names=[*fields, *results])
+
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType())] + ([(known, T.BooleanType())] if least is not None else [])
+    results = [n for n, _ in added]
+    return base.mapInArrow(run, C.struct_of(base, added))
 
 
 def learning_rows(doc_id: str = "doc_id") -> Column:

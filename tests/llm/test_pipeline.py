@@ -70,6 +70,17 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in rows[5]} == {r["doc_id"]: len(r["text"].split()) for r in rows[4]}
 
 
+def test_language_rejects_junk_and_unlearned_languages(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200, 900) * 5]
+    finnish = [" ".join("".join(rng.choice("kaa tta yö ssä lle nii mme vuo".split()) for _ in range(rng.randint(2, 4))) for _ in range(n)) for n in (20, 60, 150) * 5]
+    clean = [r for r in _corpus(4) if any(c.isalpha() for c in r[1] or "")]
+    odd = [(1000 + i, t, "en" if i == 0 else None, "s", len(t), "x") for i, t in enumerate(junk + finnish)]
+    got = {r["doc_id"]: r["lang"] for r in P.language(spark, spark.createDataFrame(clean + odd, SCHEMA), "").collect()}
+    assert set(got) == {r[0] for r in clean} and all(got.values())
+
+
 def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame(_corpus(2), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 20
