@@ -39,6 +39,8 @@ PERIOD = 4096
 CLASSES = 64
 CHUNK = 6 << 20
 _LANES = 48
+#: Nodes of a band that are compared at once.
+BLOCK = 256
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -253,12 +255,46 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return placed.mapInArrow(_pairs, _SCHEMA)
 
 
+def _links(rows: list[tuple], threshold: float) -> pa.RecordBatch:
+    """Links (u, v) that connect what the alike pairs of a band's blocks i and j connect; rows: (i, j, own block, node, fingerprint)."""
+    u, v = [], []
+    if len(rows) > 1:
+        i, j = rows[0][:2]
+        left = [r[3:] for r in rows if r[2] == i]
+        right = left if i == j else [r[3:] for r in rows if r[2] == j]
+        n = max(len(fp) for *_, fp in rows)
+        grid = np.frombuffer("".join(fp.ljust(n, "0") for _, fp in right).encode(), np.uint8).reshape(len(right), n)
+        scale = np.exp2(np.arange(OCTAVES)) / OCTAVE_SIZE
+        starts, octave = np.unique(OCTAVE_OF[:n], return_index=True)[::-1]
+        root = {node: node for node, _ in [*left, *right]}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for at, (node, fp) in enumerate(left):
+            own = np.frombuffer(fp.ljust(n, "0").encode(), np.uint8)
+            first = at + 1 if i == j else 0
+            some = (grid[first:] != 48) | (own != 48)
+            of, same = (np.add.reduceat(x, starts, axis=1, dtype=np.int64) @ scale[octave] for x in (some, (grid[first:] == own) & some))
+            # sums in another order may differ in the last places: what is close is measured again
+            for k in np.flatnonzero((same / of - 1 / 15) / (14 / 15) >= threshold - 1e-9) + first:
+                other, fp2 = right[k]
+                a, b = top(node), top(other)
+                if a != b and likeness(fp, fp2) >= threshold:
+                    root[max(a, b)] = min(a, b)
+                    u.append(node)
+                    v.append(other)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def near_groups(prints: DataFrame, threshold: float = 0.7, bands: int = 24, rows: int = 6, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
     """Groups of alike fingerprints: (doc_id, class_id). Ids must be unique and not null.
 
     Equal fingerprints are one node. Each band takes ``rows`` samples of one octave, the octave of the band's choice among
-    those that the fingerprint fills; nodes that share a band are compared with the band's least node, and links of
-    likeness ``threshold`` or more are closed to components. Empty fingerprints form one group.
+    those that the fingerprint fills; all nodes that share a band are compared, by pairs of blocks of ``BLOCK`` or so, and
+    links of likeness ``threshold`` or more are closed to components. Empty fingerprints form one group.
     """
     nodes = C.durable(prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("node")))
 
@@ -281,15 +317,24 @@ def near_groups(prints: DataFrame, threshold: float = 0.7, bands: int = 24, rows
                             ids.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], names=["band", "node"])
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "own", "node", "fp")), strict=True):
+                if row[:3] != key:
+                    yield _links(held, threshold)
+                    key, held = row[:3], []
+                held.append(row[1:])
+        yield _links(held, threshold)
 
     banded = nodes.mapInArrow(band, "band string, node long")
-    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
-    pairs = banded.join(least.hint("rebalance"), "band").where("node <> least").select("node", "least").distinct()
-    checked = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("fp2")), "least")
-    roots = components(checked.where(alike("fp", "fp2") >= threshold).select(F.col("node").alias("u"), F.col("least").alias("v")))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # each block of a band meets each block, itself included, once
+    dealt = banded.join(shared.hint("rebalance"), "band").select("band", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(nodes, "node")
+    placed = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    roots = components(placed.mapInArrow(compare, "u long, v long").distinct())
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("class_id"))
     return prints.select(doc_id, F.col(fingerprint).alias("fp")).join(classes, "fp").select(doc_id, "class_id")
 

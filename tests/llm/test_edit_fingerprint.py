@@ -141,3 +141,22 @@ def test_near_groups(spark):
     found = {(i, j) for i in range(len(rows)) for j in range(i) if got[i] == got[j]}
     assert found <= want and len(found) >= 0.95 * len(want)
     assert got[48] == got[0] and got[49] == got[50]
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_groups_in_hot_bands(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    rng = random.Random(6)
+    digits, start = "123456789abcdef", [int(E.np.searchsorted(E.OCTAVE_OF, k)) for k in range(11)]
+    text = lambda n: "".join(rng.choice(digits) for _ in range(n))
+    hot = text(start[7] - start[6])  # all share the octave 6
+    prints = [text(start[6]) + hot + text(start[10] - start[7]) for _ in range(21)]
+    for i in range(1, 21, 2):  # pairs are alike, but differ in a sample of every band of the octaves 7 to 9
+        twin = list(prints[i])
+        for k, b in ((k, b) for k in (7, 8, 9) for b in range(4)):
+            at = start[k] + int(E.np.random.default_rng((E.SEED, k, b)).permutation(int(E.OCTAVE_SIZE[k]))[0])
+            twin[at] = digits[(digits.index(prints[i][at]) + 1) % 15]
+        prints[i + 1] = "".join(twin)
+    assert all(E.likeness(prints[i], prints[i + 1]) >= 0.6 > E.likeness(prints[0], prints[i]) for i in range(1, 21, 2))
+    got = {r["doc_id"]: r["class_id"] for r in E.near_groups(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"), threshold=0.6, bands=4).collect()}
+    assert got == {0: 0} | {i: i - (i % 2 == 0) for i in range(1, 21)}
