@@ -18,6 +18,7 @@ SPECIAL_TO = " \"\"''-"
 #: Dashes that become two hyphens.
 LONG_DASHES = ("\u2014", "\u2015")
 
+# The patterns below decide results.
 TABLE = r"(?is)<table[^>]*>(.*?)</table>"
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
@@ -103,11 +104,16 @@ def strip_tags(c: Column) -> Column:
 
 
 def strip_xbrl(c: Column) -> Column:
-    return strip_markup(c, XBRL)
+    # all patterns begin with '<', so most texts are left alone at the cost of one search
+    return F.when(F.contains(c, F.lit("<")), strip_markup(c, XBRL)).otherwise(c)
 
 
 def count_xbrl(c: Column) -> Column:
-    return count_markup(c, XBRL)
+    """Matches removed in all steps together, each counted on what the steps before it left."""
+    start = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, p: F.struct(F.regexp_replace(acc["t"], p, F.lit("")).alias("t"), (acc["n"] + F.regexp_count(acc["t"], p)).alias("n"))
+    counted = F.aggregate(F.array(*[F.lit(p) for p in XBRL]), start, step, lambda acc: acc["n"])
+    return F.when(F.contains(c, F.lit("<")), counted).otherwise(F.when(c.isNotNull(), F.lit(0).cast("long")))
 
 
 def _heading(c: Column, word: str, number: str) -> Column:

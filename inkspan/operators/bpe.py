@@ -1,14 +1,15 @@
 """Learning byte-level BPE merges.
 
-Each round counts adjacent pairs once, over all documents, and takes as many merges from the top of the list as are sure to
+Adjacent pairs are counted once, over all documents. Each round takes as many merges from the top of the list as are sure to
 be the next ones whatever the earlier of them change: a pair joins the batch if it shares no place with a pair in it, that
 is if its left is no accepted right and its right no accepted left. Counts of such pairs don't change, pairs with new tokens can't
 overtake what stands below them, and ties go to smaller ids, so the merges equal those of one-by-one training. A pair of
 equal tokens, or one whose bytes are a token already, is merged alone.
 
-Tokens are kept as binary int32 arrays, a row a document (merges may cross any place in it). Counting sums within a batch
-first, then by partial aggregates; only the top ``TOP`` pairs reach the driver. The table is persisted from round to round and written
-to the shared folder every ``EVERY`` rounds, which bounds what a lost executor costs.
+Tokens are kept as binary int32 arrays, a row a document (merges may cross any place in it). A round is one pass over them, which
+also tells how the counts of pairs next to a merge change; these changes, a small table, are added to the counts. Only the top
+``TOP`` pairs reach the driver. Tokens and counts are persisted from round to round and written to the shared folder every
+``EVERY`` rounds, which bounds what a lost executor costs.
 """
 
 from __future__ import annotations
@@ -50,11 +51,9 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(p + end for p in parts), "<i4"), np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
-def apply(x: np.ndarray, starts: np.ndarray, batch: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over joined tokens: every occurrence, from the left, of the pairs of a batch."""
-    code = (x[:-1].astype(np.int64) << 32) | x[1:].astype(np.int64) & 0xFFFFFFFF
-    order = sorted(batch, key=lambda m: (m.left, m.right))
-    keys = np.array([(m.left << 32) | m.right for m in order], np.int64)
+def hits(x: np.ndarray, batch: list[Merge]) -> np.ndarray:
+    """Where, from the left, the pairs of a batch stand in joined tokens."""
+    code, keys = _pairs(x), np.sort([(m.left << 32) | m.right for m in batch])
     at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
     hit = np.flatnonzero((keys[at] == code) & (x[:-1] >= 0))
     if len(batch) == 1 and batch[0].left == batch[0].right and len(hit):
@@ -62,26 +61,60 @@ def apply(x: np.ndarray, starts: np.ndarray, batch: list[Merge]) -> tuple[np.nda
         first = np.concatenate([[True], np.diff(hit) > 1])
         begin = hit[first][np.cumsum(first) - 1]
         hit = hit[(hit - begin) % 2 == 0]
+    return hit
+
+
+def replaced(x: np.ndarray, starts: np.ndarray, batch: list[Merge], hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined tokens with the pairs at ``hit`` merged, and where each document starts then."""
     if not len(hit):
         return x, starts
-    new = x.copy()
-    new[hit] = np.array([m.new_token_id for m in order], x.dtype)[at[hit]]
-    keep = np.ones(len(x), bool)
+    order = sorted(batch, key=lambda m: (m.left, m.right))
+    keys = np.array([(m.left << 32) | m.right for m in order], np.int64)
+    new, keep = x.copy(), np.ones(len(x), bool)
+    new[hit] = np.array([m.new_token_id for m in order], x.dtype)[np.searchsorted(keys, (x[hit].astype(np.int64) << 32) | x[hit + 1])]
     keep[hit + 1] = False
     return new[keep], starts - np.searchsorted(hit, starts)
 
 
-def merge_tokens(tokens: DataFrame, batches: list[list[Merge]]) -> DataFrame:
+def apply(x: np.ndarray, starts: np.ndarray, batch: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over joined tokens: every occurrence of the pairs of a batch."""
+    return replaced(x, starts, batch, hits(x, batch))
+
+
+def _counted(code: np.ndarray, specials: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, packed into longs, and how often each stands in ``code``; those with a special id or a document's end are left out."""
+    return np.unique(code[(code >> 32 >= specials) & (code & 0xFFFFFFFF >= specials) & (code & 0xFFFFFFFF < 1 << 31)], return_counts=True)
+
+
+def _pairs(x: np.ndarray) -> np.ndarray:
+    return (x[:-1].astype(np.int64) << 32) | x[1:].astype(np.int64) & 0xFFFFFFFF
+
+
+def merge_round(tokens: DataFrame, batch: list[Merge], specials: int) -> DataFrame:
+    """One pass that merges a batch and tells what that does to the counts: rows of either tokens, or (left, right, n), n the
+    change of that pair's count. Only pairs next to a merge change."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["tokens", "left", "right", "n"], [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        change: dict[int, int] = {}
         for b in it:
             for at in range(0, b.num_rows, 512):
                 x, starts = joined(b.column(0).slice(at, 512))
-                for batch in batches:
-                    x, starts = apply(x, starts, batch)
-                raw = x.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[4 * i : 4 * (j - 1)] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())], names=["tokens"])
-
-    return tokens.mapInArrow(run, "tokens binary")
+                hit = hits(x, batch)
+                y, starts = replaced(x, starts, batch, hit)
+                if len(hit):
+                    old, new = _pairs(x), _pairs(y)
+                    made = hit - np.arange(len(hit))  # where the merged tokens stand now
+                    for code, of, sign in ((old, np.unique(np.concatenate([hit - 1, hit, hit + 1])), -1), (new, np.unique(np.concatenate([made - 1, made])), 1)):
+                        for key, n in zip(*(c.tolist() for c in _counted(code[of[(of >= 0) & (of < len(code))]], specials)), strict=True):
+                            change[key] = change.get(key, 0) + sign * n
+                raw = y.tobytes()
+                rows = [raw[4 * i : 4 * (j - 1)] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *[pa.nulls(len(rows), k) for k in kinds[1:]]], names=names)
+        code = np.array([k for k, n in change.items() if n], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array([n for n in change.values() if n], pa.int64())], names=names)
+
+    return tokens.mapInArrow(run, "tokens binary, left int, right int, n long")
 
 
 def pair_counts(tokens: DataFrame, specials: int) -> DataFrame:
@@ -91,8 +124,7 @@ def pair_counts(tokens: DataFrame, specials: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 x, _ = joined(b.column(0).slice(at, 512))
-                ok = (x[:-1] >= specials) & (x[1:] >= specials)
-                code, n = np.unique((x[:-1][ok].astype(np.int64) << 32) | x[1:][ok].astype(np.int64), return_counts=True)
+                code, n = _counted(_pairs(x), specials)
                 yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
 
     return tokens.mapInArrow(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("freq"))
@@ -138,31 +170,38 @@ def train(docs: DataFrame, config: Tokenizer | None = None, text: str = "text",
     specials, cap = len(config.special_tokens), config.vocab_size - len(vocabulary)
     tokens = durable(byte_tokens(docs, specials, text))
     initial = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tokens") / 4 + 2), F.lit(0))).first()
-    done = 0
-    held: DataFrame | None = None
+    counts = pair_counts(tokens, specials).persist(StorageLevel.MEMORY_AND_DISK)
+    held, done = [counts], 0
     while len(merges) < cap and (rounds is None or done < rounds):
-        top = [tuple(r) for r in pair_counts(tokens, specials).orderBy(F.desc("freq"), "left", "right").limit(TOP).collect()]
+        top = [tuple(r) for r in counts.orderBy(F.desc("freq"), "left", "right").limit(TOP).collect()]
         batch = next_batch(top, vocabulary, merges, cap - len(merges), config.min_frequency)
         if not batch:
             break
         done += 1
-        after = merge_tokens(tokens, [batch])
-        after = durable(after) if done % EVERY == 0 else after.persist(StorageLevel.MEMORY_AND_DISK)
+        # the pass runs once: its rows are kept, and what changed is added to the counts
+        after = merge_round(tokens, batch, specials).persist(StorageLevel.MEMORY_AND_DISK)
+        changed = after.where("tokens is null").select("left", "right", F.col("n").alias("freq"))
+        counts = counts.unionByName(changed).groupBy("left", "right").agg(F.sum("freq").alias("freq")).where("freq > 0")
+        tokens = after.where("tokens is not null").select("tokens")
         if done % EVERY:
-            after.count()
-        if held is not None:
-            held.unpersist()
-        held, tokens = (None if done % EVERY == 0 else after), after
+            counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+            held += [after, counts]
+        else:
+            tokens, counts = durable(tokens), durable(counts)
+            for df in (*held, after):
+                df.unpersist()
+            held = []
         if len(merges) // 100 > (len(merges) - len(batch)) // 100:
             _log.info("%d merges, vocabulary %d", len(merges), len(vocabulary))
     final = tokens.agg(F.coalesce(F.sum(F.octet_length("tokens") / 4 + 2), F.lit(0))).first()[0]
-    if held is not None:
-        held.unpersist()
+    for df in held:
+        df.unpersist()
     return Training(vocabulary, merges, training_statistics(config, vocabulary, merges, int(initial[0]), int(initial[1]), int(final)))
 
 
 def training_statistics(config: Tokenizer, vocabulary: Vocabulary, merges: Merges, documents: int, initial: int, final: int, corpus_bytes: int = 0, corpus_characters: int = 0) -> dict:
     freq = [m.frequency for m in merges]
+    # The names of all keys
     return {
         "initial_vocab_size": vocabulary.bpe_start,
         "final_vocab_size": len(vocabulary),

@@ -31,10 +31,12 @@ def corpus_facts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def boundary_counts(spark: SparkSession, path: str) -> DataFrame:
     """One row: numbers of both markers in a file, and whether it is UTF-8."""
-    raw = spark.read.format("binaryFile").load(str(path)).select(F.col("content").cast("string").alias("c"))
-    t = F.make_valid_utf8("c")
-    n = lambda m: F.coalesce(F.sum(((F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m)).cast("long")), F.lit(0))
-    return raw.agg(n(START).alias("starts"), n(END).alias("ends"), F.coalesce(F.bool_and(F.is_valid_utf8("c")), F.lit(True)).alias("is_utf8"))
+    from inkspan.sources.files import pieces
+
+    parts = pieces(spark, path, START)
+    t = F.make_valid_utf8("p")
+    ends = F.coalesce(F.sum(((F.length(t) - F.length(F.replace(t, F.lit(END), F.lit("")))) / len(END)).cast("long")), F.lit(0))
+    return parts.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("starts"), ends.alias("ends"), F.coalesce(F.bool_and(F.is_valid_utf8("p")), F.lit(True)).alias("is_utf8"))
 
 
 def validate_corpus(spark: SparkSession, folder: str) -> dict:
@@ -79,6 +81,13 @@ def validate_documents(docs: DataFrame, text: str = "text", least: int = 100) ->
     return docs.agg(F.count(F.lit(1)).alias("documents_loaded"), F.count_if(~failed & (n >= least)).alias("documents_valid"), F.count_if(~failed & (n < least)).alias("documents_skipped"), F.count_if(failed).alias("documents_failed"), F.count_if(F.coalesce(off, F.lit(False))).alias("length_mismatches"))
 
 
+def length_mismatches(docs: DataFrame, text: str = "text", doc_id: str = "document_id") -> DataFrame:
+    """(message) for each document whose cleaned_length is off by more than 100 characters."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    known = F.col("cleaned_length") if "cleaned_length" in docs.columns else F.lit(None).cast("long")
+    return docs.where(F.abs(known - n) > 100).select(F.format_string("document %s has %d characters, its metadata say %d", F.col(doc_id).cast("string"), n, known).alias("message"))
+
+
 def vocabulary_gaps(vocab: DataFrame) -> DataFrame:
     """Ids after which the next is missing. A vocabulary is small by construction, so one ordered window over it is fine."""
     return vocab.select("id", F.lead("id").over(W.orderBy("id")).alias("next")).where("next is not null and next <> id + 1").select("id")

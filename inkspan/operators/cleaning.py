@@ -1,8 +1,8 @@
 """The cleaning pipeline over documents, exact dedup, and its report.
 
-One scan and one Arrow pass clean a document; the only exchange is that of (hash, position) for dedup, which carries no text
-until the last join-free window: duplicates are found from a minimum per hash that is partly aggregated first, so a text
-with millions of copies makes one row a task.
+One scan and one Arrow pass clean a document, and the result is written once. Dedup exchanges (hash, position, id) and no
+text: originals come from a minimum per hash that is partly aggregated first, so a text with millions of copies makes one row a
+task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from inkspan.functions import text as T
 from inkspan.functions.decode import decode_struct
 
+from .durable import durable, running_totals
+
 # The names of the steps, in order.
 STEPS = ("encoding_normalization", "table_extraction", "html_cleaning", "xbrl_cleaning", "structure_preservation", "whitespace_normalization", "artifact_removal")
 
@@ -54,25 +56,32 @@ def clean(docs: DataFrame, text: str = "text", doc_id: str = "document_id") -> D
 def mark_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_idx", doc_id: str = "document_id") -> DataFrame:
     """Adds content_hash, is_duplicate and duplicate_of: of equal normalised texts, the first in ``order`` is the original.
 
-    The originals are a partly aggregated minimum by hash, joined back, so no copy group is gathered in a window, and the
-    join of a text with very many copies can be split.
+    ``docs`` is written with its hashes once, so what makes it runs once; :func:`mark_hashed` does the rest.
     """
-    hashed = docs.withColumn("content_hash", T.dedup_hash(F.col(text)))
-    first = hashed.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("o"), F.col(doc_id).alias("id"))).alias("__first"))
+    return mark_hashed(durable(docs.withColumn("content_hash", T.dedup_hash(F.col(text)))), order, doc_id)
+
+
+def mark_hashed(hashed: DataFrame, order: str = "doc_idx", doc_id: str = "document_id") -> DataFrame:
+    """The same for a table that has its content_hash. Only (hash, order, id) is exchanged; the originals are a minimum by hash
+    that is partly aggregated first, so no copy group is gathered. The copies alone are written and joined back, by broadcast
+    where that table's size allows it."""
+    narrow = hashed.select("content_hash", F.col(order).alias("__o"), F.col(doc_id).alias("__id")).where("content_hash is not null")  # a null text is nobody's copy
+    first = narrow.groupBy("content_hash").agg(F.min(F.struct("__o", "__id")).alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # dealt anew, so the join has an exchange of its own on both sides, which adaptive execution can split at a hot hash
-    joined = hashed.join(first.hint("rebalance"), "content_hash", "left")
-    # a null text has no hash and is nobody's copy
-    dup = F.coalesce(F.col(order) != F.col("__first.o"), F.lit(False))
-    return joined.withColumns({"is_duplicate": dup, "duplicate_of": F.when(dup, F.col("__first.id"))}).drop("__first")
+    copies = durable(narrow.join(first.hint("rebalance"), "content_hash").where("__o <> __first.__o").select("content_hash", F.col("__o").alias(order), F.col("__first.__id").alias("duplicate_of")).distinct())
+    joined = hashed.join(copies, ["content_hash", order], "left")
+    return joined.select(*hashed.columns, F.col("duplicate_of").isNotNull().alias("is_duplicate"), "duplicate_of")
 
 
 def running_counts(docs: DataFrame, order: str = "doc_idx") -> DataFrame:
-    """The three counters as running totals in document order, the way a stateful cleaner reports them.
-
-    One ordered window over three numbers a document; meant for parity with such reports, not for large corpora.
-    """
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return docs.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(w).cast("long") for c in ("table_count", "html_elements_removed", "xbrl_elements_removed")})
+    """The three counters as running totals in document order, the way a stateful cleaner reports them, by prefix sums of
+    partition totals over three numbers a document. All columns but those narrow ones are left out."""
+    counters = ("table_count", "html_elements_removed", "xbrl_elements_removed")
+    out = durable(docs.select(order, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters]))
+    for c in counters:
+        held = running_totals(out, [order], c, held=True).withColumn(c, F.col("before_size") + F.col(c))
+        out = durable(held.drop("before_rows", "before_size", "all_size"))
+    return out
 
 
 def dedup_statistics(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from inkspan.plans.config import Tokenizer as Config
 
 from .bpe import Training, apply
-from .vocabulary import Merges, Vocabulary
+from .vocabulary import Merge, Merges, Vocabulary
 
 
 class Tokenizer:
@@ -130,6 +130,15 @@ class Tokenizer:
 
     # --- lookups
 
+    def token_to_id(self, token: bytes) -> int | None:
+        return self.vocabulary.id_of(token)
+
+    def id_to_token(self, token_id: int) -> bytes | None:
+        return self.vocabulary.token_of(token_id)
+
+    def get_merge(self, rank: int) -> Merge:
+        return self.merges.at(rank)
+
     def inspect_merges(self, spark: SparkSession, n: int = 10) -> DataFrame:
         """(rank, left_bytes, right_bytes, new_bytes, frequency) of the first n merges."""
         hexed = lambda name: self.vocabulary.frame(spark).select(F.col("id").alias(name), F.lower(F.hex("bytes")).alias(f"{name}_bytes"))

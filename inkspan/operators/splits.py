@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkspan.plans.config import SPLITS, Preparation
@@ -124,19 +122,6 @@ def manifest(docs: DataFrame, doc_id: str = "document_id") -> DataFrame:
     return docs.select("split", F.col(doc_id).alias("document_id"))
 
 
-def manifest_json(docs: DataFrame, config: Preparation, path: str, ticker: str | None = None, doc_id: str = "document_id") -> None:
-    """The manifest as one JSON file: ids come partition by partition, sorted by Spark, and are written as they come."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("{\n" + f'  "strategy": {json.dumps(config.split_strategy)},\n  "seed": {config.seed}')
-        for s in SPLITS:
-            ids = docs.where(F.col("split") == s).select(F.col(doc_id).cast("string").alias("i")).orderBy("i")
-            f.write(f',\n  "{s}": [' + "".join(f"{', ' * bool(n)}{json.dumps(r['i'])}" for n, r in enumerate(ids.toLocalIterator())) + "]")
-        if ticker and config.split_strategy == "company":
-            rows = docs.select(F.coalesce(F.col(ticker), F.lit(UNKNOWN)).alias("t"), "split").distinct().orderBy("t")
-            f.write(',\n  "company_assignments": {' + ", ".join(f"{json.dumps(r['t'])}: {json.dumps(r['split'])}" for r in rows.toLocalIterator()) + "}")
-        f.write("\n}\n")
-
-
 def load_manifest(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -155,7 +140,3 @@ def validate_manifest(listed: DataFrame, docs: DataFrame, doc_id: str = "documen
     extra = there.join(ids, "document_id", "left_anti").agg(F.count(F.lit(1)).alias("extra_documents"))
     found = missing.crossJoin(F.broadcast(extra)).crossJoin(F.broadcast(leakage(listed)))
     return found.withColumn("is_valid", (F.col("missing_documents") == 0) & ~F.col("has_leakage")).drop("has_leakage")
-
-
-def messages(row: dict, names: Iterable[tuple[str, str]]) -> list[str]:
-    return [text.format(row[k]) for k, text in names if row[k]]

@@ -68,6 +68,13 @@ class Vocabulary:
     def is_special_id(self, token_id: int) -> bool:
         return 0 <= token_id < len(self.special_tokens)
 
+    @property
+    def special_count(self) -> int:
+        return len(self.special_tokens)
+
+    def special_list(self) -> list[str]:
+        return list(self.special_tokens)
+
     @property
     def max_special_id(self) -> int:
         return len(self.special_tokens) - 1

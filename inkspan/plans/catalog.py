@@ -6,7 +6,6 @@ The driver's tables lack tables, XBRL tags and headings, so queries for those wr
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -17,10 +16,10 @@ from inkspan.functions import text as T
 from inkspan.functions.decode import entities
 from inkspan.operators import bpe, checks, cleaning, profile, splits
 from inkspan.operators.codec import Tokenizer
-from inkspan.operators.durable import shared_dir
+from inkspan.operators.durable import durable, scratch
 from inkspan.operators.vocabulary import Merges, Vocabulary
 from inkspan.plans.config import Ingestion, Preparation, Tokenizer as TokenizerConfig
-from inkspan.sources import files
+from inkspan.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,7 +164,8 @@ def dedup_hash(spark, d):
 
 @query(f"select doc_id, h as content_hash, doc_id <> min(doc_id) over (partition by h) as is_duplicate, case when doc_id <> min(doc_id) over (partition by h) then min(doc_id) over (partition by h) end as duplicate_of from (select doc_id, {_hash_sql('text')} as h from documents)")
 def dedup_exact(spark, d):
-    found = cleaning.mark_duplicates(_read(spark, d, "documents").select("doc_id", "text"), order="doc_id", doc_id="doc_id")
+    hashed = durable(_read(spark, d, "documents").select("doc_id", T.dedup_hash(F.col("text")).alias("content_hash")))
+    found = cleaning.mark_hashed(hashed, order="doc_id", doc_id="doc_id")
     return found.select("doc_id", "content_hash", "is_duplicate", "duplicate_of")
 
 
@@ -202,7 +202,7 @@ def cleaning_report(spark, d):
 
 @query(f"with {_clean_sql()} select page_id, (sum(html_elements_removed) over (order by page_id))::bigint as html_elements_removed from i")
 def running_counts(spark, d):
-    return cleaning.running_counts(_cleaned_pages(spark, d)).select(F.col("document_id").alias("page_id"), "html_elements_removed")
+    return cleaning.running_counts(_cleaned_pages(spark, d)).select(F.col("doc_idx").alias("page_id"), "html_elements_removed")
 
 
 # Statistics ------------------------------------------------------------------------------------------------------------
@@ -226,14 +226,14 @@ def top_characters(spark, d):
     return profile.most_common(profile.characters(_docs(spark, d), order="doc_idx"), 50).select("character", "frequency")
 
 
-@query("select ('0x' || b)::int as byte, count(*) as frequency from (select unnest(regexp_extract_all(hex(encode(text)), '..')) as b from documents) group by 1")
+@query("select ('0x' || b)::int as byte, count(*) as frequency, count(*) / sum(count(*)) over () * 100 as percentage from (select unnest(regexp_extract_all(hex(encode(text)), '..')) as b from documents) group by 1")
 def byte_freq(spark, d):
-    return profile.byte_values(_docs(spark, d))
+    return profile.with_percentage(profile.byte_values(_docs(spark, d)))
 
 
-@query(f"select character, frequency, percentage, 'U+' || case when unicode(character) < 65536 then right('0000' || to_hex(unicode(character)), 4) else to_hex(unicode(character)) end as code_point from (select character, count(*) as frequency, count(*) / sum(count(*)) over () * 100 as percentage from ({_CHARS}) where character <> '' group by character) where frequency <= 10")
+@query(f"select character, frequency, percentage, 'U+' || case when unicode(character) < 65536 then right('0000' || to_hex(unicode(character)), 4) else to_hex(unicode(character)) end as code_point from (select character, count(*) as frequency, count(*) / sum(count(*)) over () * 100 as percentage from ({_CHARS}) where character <> '' group by character) where frequency <= 1000")
 def rare_chars(spark, d):
-    return profile.rare_characters(profile.characters(_docs(spark, d)))
+    return profile.rare_characters(profile.characters(_docs(spark, d)), 1000)
 
 
 @query("with l as (select length(text)::bigint as len, row_number() over (order by length(text)) - 1 as i, count(*) over () as n from documents) select min(len) as minimum_document_length, max(len) as maximum_document_length, sum(len) / count(*) as mean_document_length, min(len) filter (where i = n // 2) as median_document_length, " + ", ".join(f"min(len) filter (where i = floor(n::double * {q}::double)) as {name}" for name, q in profile.QUANTILES.items()) + " from l")
@@ -339,9 +339,7 @@ def manifest_validate(spark, d):
 
 @query("select document_id, split, length from (select 'doc_' || lpad(doc_id::varchar, 6, '0') as document_id, length(text)::bigint as length from documents) join (select document_id, split from (" + _BY_DOCUMENT + ")) using (document_id)")
 def split_metadata(spark, d):
-    from inkspan.sources.sinks import split_metadata as found
-
-    return found(splits.split_documents(_docs(spark, d), Preparation("document"))).select("document_id", "split", "length")
+    return sinks.split_metadata(splits.split_documents(_docs(spark, d), Preparation("document"))).select("document_id", "split", "length")
 
 
 # Validation and sources ------------------------------------------------------------------------------------------------
@@ -360,10 +358,13 @@ def validate_documents(spark, d):
     return checks.validate_documents(docs)
 
 
-def _marked(spark, d, start: str, end: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("item_id", "text")))
-    framed = F.transform(rows, lambda r: F.concat(F.lit(f"{start}\n"), r["text"], F.lit(f"\n{end}")))
-    return _read(spark, d, "benchmark").agg(F.array_join(framed, "\n\n").alias("t"))
+def _marker_file(spark, d, start: str, end: str) -> str:
+    """Benchmark texts as a marker file."""
+    rows = _read(spark, d, "benchmark").select("item_id", F.concat(F.lit(f"{start}\n"), "text", F.lit(f"\n{end}\n\n")).alias("v"))
+    path, folder = scratch(spark), scratch(spark)
+    sinks.write_parts(rows, F.col("v"), "\n", "item_id", folder)
+    sinks.join_parts(spark, path, [folder])
+    return path
 
 
 _ITEMS = f"select row_number() over (order by item_id) as i, {_strip_sql('text')} as text from benchmark"
@@ -371,12 +372,49 @@ _ITEMS = f"select row_number() over (order by item_id) as i, {_strip_sql('text')
 
 @query(f"select (i - 1)::bigint as doc_idx, 'doc_' || lpad((i - 1)::varchar, 6, '0') as document_id, text from ({_ITEMS})")
 def marker_split_raw(spark, d):
-    return files.split_raw(_marked(spark, d, "<document_start>", "<document_end>"))
+    return files.raw_marker_file(spark, _marker_file(spark, d, "<document_start>", "<document_end>"))
 
 
 @query(f"select i::bigint as part_idx, 'doc_' || lpad(i::varchar, 6, '0') as document_id, text from ({_ITEMS})")
 def marker_split_prepared(spark, d):
-    return files.split_prepared(_marked(spark, d, files.START, files.END))
+    return files.prepared_marker_file(spark, _marker_file(spark, d, files.START, files.END))
+
+
+@query(f"select i::bigint as doc_idx, text from ({_ITEMS}) where length(text) >= 300")
+def marker_split_training(spark, d):
+    return files.training_marker_file(spark, _marker_file(spark, d, files.START, files.END), 300)
+
+
+_KEPT = "select doc_id, text, source, row_number() over (order by doc_id) - 1 as r from documents join (select min(doc_id) as doc_id from (select doc_id, " + _hash_sql("text") + " as h from documents where doc_id % 7 <> 3) group by h) using (doc_id)"
+
+
+def _cleaned_folder(spark, d) -> str:
+    """Documents as a cleaned folder of exports: those of a seventh failed, copies are only in the metadata."""
+    docs = _docs(spark, d).where("doc_idx % 7 <> 3").select("doc_idx", "document_id", "text", "ticker", F.lit("success").alias("status"))
+    found = durable(cleaning.mark_duplicates(docs).drop("content_hash"))
+    folder = scratch(spark)
+    sinks.write_markers(found.where("not is_duplicate"), f"{folder}/corpus.txt")
+    failed = _docs(spark, d).where("doc_idx % 7 = 3").select("doc_idx", "document_id", F.lit("failed").alias("status"))
+    sinks.write_lines(found.drop("text").unionByName(failed, allowMissingColumns=True), f"{folder}/metadata.jsonl", "doc_idx")
+    return folder
+
+
+@query(f"select 'doc_' || lpad(doc_id::varchar, 6, '0') as document_id, source as ticker, length({_strip_sql('text')})::bigint as n from ({_KEPT}) where length({_strip_sql('text')}) >= 100")
+def load_cleaned_ids(spark, d):
+    """Each document that was kept meets its own record, though corpus and metadata count ids in different ways."""
+    return files.load_cleaned(spark, _cleaned_folder(spark, d)).select("document_id", "ticker", F.length("text").cast("long").alias("n"))
+
+
+@query("select 'errors' as kind, 2 as n union all select 'warnings', (select 2 + count(*) from (values ('%'), ('$'), ('ITEM'), ('PART'), ('10-K'), ('10-Q')) t(p) where not exists (select 1 from benchmark where contains(text, p)))")
+def corpus_validation(spark, d):
+    """A corpus one start marker of which has no end, with a short document and too few records, and no cleaning report."""
+    rows = _read(spark, d, "benchmark").select("item_id", F.concat(F.lit(f"{files.START}\n"), "text", F.lit(f"\n{files.END}\n\n")).alias("v"))
+    folder, parts = scratch(spark), scratch(spark)
+    sinks.write_parts(rows, F.col("v"), "\n", "item_id", parts)
+    sinks.join_parts(spark, f"{folder}/corpus.txt", [parts, f"{files.START}\nshort\n{files.END}\n\n{files.START}\nno end".encode()])
+    sinks.write_lines(rows.select("item_id", F.format_string("doc_%06d", F.col("item_id") + 1).alias("document_id")), f"{folder}/metadata.jsonl", "item_id")
+    found = checks.validate_corpus(spark, folder)
+    return spark.createDataFrame([("errors", len(found["errors"])), ("warnings", len(found["warnings"]))], "kind string, n int")
 
 
 @query("select 'doc_' || doc_id as document_id, max(toxic)::bigint as cleaned_length, case when max(toxic) = 1 then 'failed' else 'success' end as status from (select doc_id, last(toxic order by quality, toxic) as toxic from labels group by doc_id) group by doc_id")
@@ -390,7 +428,7 @@ def metadata_last_wins(spark, d):
 @query("select item_id, text || chr(10) as text from benchmark")
 def discover_load(spark, d):
     """Benchmark texts written as a folder of text files, one a subfolder, and loaded in the order of their paths."""
-    path = f"{shared_dir(spark)}/inkspan-tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     _read(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
     found = files.load_documents(spark, path)
     return found.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "text")
@@ -409,11 +447,27 @@ def zip_extract(spark, d):
         return pd.DataFrame({"path": [f"{pdf.a.iloc[0]}.zip"], "content": [held.getvalue()]})
 
     zips = rows.groupBy("a").applyInPandas(pack, "path string, content binary")
-    found = files.named_members(files.unpack(zips, Ingestion(extract_zip=True)))
+    found = files.named_members(durable(files.unpack(zips, Ingestion(extract_zip=True))))
     # names run on in the order of members: item.txt, item_1.txt...
     place = F.when(F.col("file_name") == "item.txt", 0).otherwise(F.regexp_extract("file_name", r"_(\d+)\.txt$", 1).cast("long"))
     archive = F.substring_index("archive", ".", 1).cast("long")
-    return found.where("error is null").select(archive.alias("archive_no"), (place * 4 + archive).alias("item_id"), "base_name", files.decoded(F.col("content")).alias("text"))
+    return found.select(archive.alias("archive_no"), (place * 4 + archive).alias("item_id"), "base_name", files.decoded(F.col("content")).alias("text"))
+
+
+@query("select (item_id // 3)::bigint as archive_no, ['f.txt', 'f_1.txt', 'f_1_1.txt'][item_id % 3 + 1] as file_name, text from benchmark")
+def zip_collisions(spark, d):
+    """Benchmark texts zipped by three, as f.txt, f.txt again and f_1.txt: each gets a name of its own."""
+    rows = _read(spark, d, "benchmark").withColumn("a", F.expr("item_id div 3"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for r in pdf.sort_values("item_id").itertuples():
+                z.writestr(f"d{r.item_id}/" + ("f_1.txt" if r.item_id % 3 == 2 else "f.txt"), r.text)
+        return pd.DataFrame({"path": [f"{pdf.a.iloc[0]}.zip"], "content": [held.getvalue()]})
+
+    found = files.named_members(durable(files.unpack(rows.groupBy("a").applyInPandas(pack, "path string, content binary"), Ingestion(extract_zip=True))))
+    return found.select(F.col("stem").cast("long").alias("archive_no"), "file_name", files.decoded(F.col("content")).alias("text"))
 
 
 # Tokenizer -------------------------------------------------------------------------------------------------------------
@@ -456,11 +510,28 @@ def bpe_train(spark, d):
     return _trained(spark, d).merges.frame(spark)
 
 
-@query("select count(*) as num_documents, sum(octet_length(encode(text)) + 2)::bigint as initial_token_count, 259::bigint as initial_vocab_size, 259::bigint as final_vocab_size, 0::bigint as merge_count from documents")
+def _stats_sql() -> str:
+    cut = _train_sql(_K)
+    at = cut.rindex(" select 0 as rank")
+    final = f"(select sum(length(s) + 2)::bigint from s{_K})"
+    return cut[:at] + f""", ms as ({cut[at + 1:]}), n as (select count(*) as num_documents, sum(octet_length(encode(text)) + 2)::bigint as initial_token_count from documents)
+select num_documents, initial_token_count, {final} as final_token_count, 259::bigint as initial_vocab_size, {259 + _K}::bigint as final_vocab_size, {_K}::bigint as merge_count, initial_token_count / {final} as compression_ratio,
+(select min(frequency) from ms)::bigint as least_frequency, (select max(frequency) from ms)::bigint as largest_frequency, (select avg(frequency) from ms) as mean_frequency from n"""
+
+
+@query(_stats_sql())
 def training_stats(spark, d):
-    s = _trained(spark, d, 0).statistics
-    names = ("num_documents", "initial_token_count", "initial_vocab_size", "final_vocab_size", "merge_count")
-    return spark.createDataFrame([tuple(s[n] for n in names)], ", ".join(f"{n} long" for n in names))
+    s = _trained(spark, d).statistics
+    names = ("num_documents", "initial_token_count", "final_token_count", "initial_vocab_size", "final_vocab_size", "merge_count")
+    of = s["merge_frequency_stats"]
+    row = (*(s[n] for n in names), s["compression_ratio"], of["min"], of["max"], float(of["mean"]))
+    return spark.createDataFrame([row], ", ".join(f"{n} long" for n in names) + ", compression_ratio double, least_frequency long, largest_frequency long, mean_frequency double")
+
+
+@query()
+def bpe_train_300(spark, d):
+    """As many merges have no SQL that ends; training is tested against one-by-one training on small corpora."""
+    return _trained(spark, d, 300).merges.frame(spark)
 
 
 #: A fixed merge list: pairs of tokens, by their bytes.

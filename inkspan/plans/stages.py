@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,28 +13,34 @@ from inkspan.sources import files, sinks
 
 from . import config as K
 
+#: Documents that a report names one by one; it counts the others.
+REPORTED = 100
+
 
 def ingest(spark: SparkSession, folder: str, output: str, config: K.Ingestion | None = None) -> int:
     """Stage 1: documents of a folder to one marker file outside it. Returns how many."""
-    if Path(output).resolve().is_relative_to(Path(folder).resolve()):
+    inside, outside = files._qualified(spark, folder) + "/", files._qualified(spark, output)
+    if outside.startswith(inside):
         raise ValueError("the output must not lie in the input folder, where the next run would take it for a document")
-    return sinks.write_markers(files.load_documents(spark, folder, config), output)
+    return sinks.write_markers(durable(files.load_documents(spark, folder, config)), output)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Stage 2 as a frame: (doc_idx, document_id, text) to cleaned and marked documents."""
-    return cleaning.mark_duplicates(cleaning.clean(docs))
+    return cleaning.mark_duplicates(durable(cleaning.clean(docs)))
 
 
 def clean_folder(spark: SparkSession, source: str, output: str) -> dict:
-    """Stage 2: ``source``/corpus.txt to corpus.txt, metadata.jsonl and cleaning_report.json. Returns the statistics."""
+    """Stage 2: ``source``/corpus.txt to documents.parquet, which stage 3 reads, and its exports corpus.txt, metadata.jsonl and
+    cleaning_report.json. Returns the statistics."""
     found = durable(cleaned(files.raw_marker_file(spark, f"{source}/corpus.txt")))
     ok = found.where("status = 'success'")
+    sinks.write_native(ok.drop("content_hash"), f"{output}/{files.HANDED_OVER}")
     sinks.write_markers(ok.where(~F.col("is_duplicate")), f"{output}/corpus.txt")
     sinks.write_lines(ok.drop("text", "content_hash"), f"{output}/metadata.jsonl", "doc_idx")
     report = sinks.one_row(cleaning.cleaning_report(found))
     failed = [r.asDict() for r in found.where("status = 'failed'").select("document_id", "errors").toLocalIterator()]
-    sinks.write_json({"statistics": report, "failed_documents": failed, "duplicate_info": sinks.one_row(cleaning.dedup_statistics(ok))}, f"{output}/cleaning_report.json")
+    sinks.write_json(spark, {"statistics": report, "failed_documents": failed, "duplicate_info": sinks.one_row(cleaning.dedup_statistics(ok))}, f"{output}/cleaning_report.json")
     return report
 
 
@@ -53,6 +58,7 @@ def statistics(docs: DataFrame, ticker: str | None = None) -> dict:
     found = [tuple(r) for r in profile.vocabulary_candidates(chars).collect()]
     companies = sinks.one_row(profile.company_statistics(docs, ticker))
     kinds = lambda k: sorted(c for x, c in found if x == k)
+    # The names of all keys
     return {
         "document_statistics": {"number_of_documents": docs.count(), "number_of_companies": companies["total_companies"], "number_of_filings_per_company": dict(named[:10])},
         "character_statistics": {"total_characters": total_chars, "unique_characters": chars.count(), "character_frequency": {r["character"]: r["frequency"] for r in top}, "character_frequency_percentage": {r["character"]: r["frequency"] / total_chars * 100 for r in top}},
@@ -70,28 +76,36 @@ def prepare(spark: SparkSession, source: str, output: str, config: K.Preparation
     docs = durable(files.load_cleaned(spark, source, config.min_document_length))
     if config.max_document_length:
         docs = docs.where(F.length("text") <= config.max_document_length)
-    validation = sinks.one_row(checks.validate_documents(docs))
+    validation = sinks.one_row(checks.validate_documents(docs, least=config.min_document_length))
     placed = durable(splits.split(docs, config))
     leak = sinks.one_row(splits.leakage(placed, ticker="ticker" if config.split_strategy == "company" else None))
     found = statistics(placed, "ticker")
     per_split = {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in profile.split_statistics(placed).collect()}
     sinks.write_splits(placed, output, config.boundary_mode)
     sinks.write_lines(sinks.split_metadata(placed), f"{output}/metadata.jsonl", "doc_idx")
-    sinks.write_json({"corpus_statistics": found, "split_statistics": per_split}, f"{output}/corpus_statistics.json")
-    splits.manifest_json(placed, config, f"{output}/split_manifest.json", "ticker")
-    report = {"stage": 3, "status": "failed" if leak["has_leakage"] else "success", "configuration": asdict(config), "input": {"directory": str(source)}, "validation": validation, "splits": per_split, "leakage_check": leak, "corpus_summary": found["document_statistics"] | {k: found["character_statistics"][k] for k in ("total_characters", "unique_characters")}, "warnings": [], "errors": []}
-    sinks.write_json(report, f"{output}/preparation_report.json")
+    sinks.write_json(spark, {"corpus_statistics": found, "split_statistics": per_split}, f"{output}/corpus_statistics.json")
+    sinks.write_manifest(placed, config, f"{output}/split_manifest.json", "ticker")
+    warnings = [r[0] for r in checks.length_mismatches(docs).limit(REPORTED).collect()]
+    if validation["length_mismatches"] > REPORTED:
+        warnings.append(f"{validation['length_mismatches'] - REPORTED} more documents whose length is not that of their metadata")
+    warnings += [f"{n} {what} are in two splits" for what, n in leak.items() if what != "has_leakage" and n]
+    errors = [f"{n} documents are empty or have no id" for n in [docs.where("document_id is null or document_id = '' or text = ''").count()] if n]
+    summary = {"total_documents": found["document_statistics"]["number_of_documents"], "total_companies": found["document_statistics"]["number_of_companies"], "total_characters": found["character_statistics"]["total_characters"], "total_bytes": found["byte_statistics"]["total_bytes"], "unique_characters": found["character_statistics"]["unique_characters"]}
+    report = {"stage": 3, "status": "failed" if leak["has_leakage"] else "success", "configuration": asdict(config), "input": {"input_dir": str(source)} | validation, "validation": validation, "splits": {s: per_split.get(s, {}) for s in K.SPLITS}, "leakage_check": leak, "corpus_summary": summary, "warnings": warnings, "errors": errors}
+    sinks.write_json(spark, report, f"{output}/preparation_report.json")
     return report
 
 
 def train(spark: SparkSession, corpus: str, output: str, config: K.Tokenizer | None = None) -> dict:
     """Stage 4: a marker file to tokenizer files; validates them and a round trip. Returns statistics and validation."""
     config = config or K.Tokenizer()
-    docs = durable(files.training_marker_file(spark, corpus))
+    parts = files.pieces(spark, corpus, files.START)
+    docs = durable(files.long_enough(files.split_prepared(parts)))
     got = bpe.train(docs, config)
-    raw = Path(corpus).read_bytes() if Path(corpus).stat().st_size < 1 << 28 else b""
-    size = Path(corpus).stat().st_size
-    got.statistics |= {"training_corpus_bytes": size, "training_corpus_characters": len(raw.decode("utf-8", "replace")) if raw else docs.agg(F.sum(F.length("text"))).first()[0] or 0}
+    # of the whole file, markers and short documents included
+    characters, n = parts.agg(F.coalesce(F.sum(F.length(F.make_valid_utf8("p"))), F.lit(0)), F.count(F.lit(1))).first()
+    size = files.size_of(spark, corpus)
+    got.statistics |= {"training_corpus_bytes": size, "training_corpus_characters": characters + max(0, n - 1) * len(files.START)}
     final = got.statistics["final_token_count"]
     got.statistics["average_bytes_per_token"] = size / final if final else 0.0
     tok = Tokenizer.of(got, config)

@@ -32,6 +32,9 @@ def test_report_and_running_totals(spark):
     found = cleaning.mark_duplicates(cleaning.clean(_docs(spark)))
     r = cleaning.cleaning_report(found).first()
     assert (r["documents_processed"], r["documents_failed"], r["duplicates_detected"], r["table_count"]) == (5, 0, 2, 1)
+    marked = cleaning.mark_hashed(found.drop("is_duplicate", "duplicate_of"))._jdf.queryExecution().executedPlan().toString()
+    # one scan of the written table, no cleaning again, and texts are in no exchange
+    assert marked.count("ArrowEvalPython") == 0 and "Exchange hashpartitioning" not in marked
     assert [x["table_count"] for x in cleaning.running_counts(found).orderBy("doc_idx").collect()] == [0, 0, 1, 1, 1]
     assert tuple(cleaning.dedup_statistics(found).first()) == (5, 3, 2)
     assert cleaning.cleaning_report(found.limit(0)).first()["documents_processed"] == 0

@@ -52,27 +52,66 @@ def test_archives(spark, folder):
     _zip(folder / "bomb.zip", [(f"{i}.txt", "y" * 900) for i in range(30)])
     (folder / "broken.zip").write_bytes(b"not a zip")
     c = Ingestion(extract_zip=True, max_extracted_file_size=1000, max_total_extracted_size=20000)
-    found = files.extract_members(spark, str(folder), c)
-    names = {r["file_name"]: bytes(r["content"]) for r in found.where("error is null").collect()}
-    assert names == {"f.txt": b"one", "f_1.txt": b"two"}
-    r = files.extraction_report(spark, str(folder), c)
-    assert (r["archives_discovered"], r["archives_extracted"], r["archives_failed"], r["files_extracted"]) == (4, 2, 2, 2)
+    r = files.extract(spark, str(folder), c)
+    assert (r["archives_discovered"], r["archives_extracted"], r["archives_skipped"], r["archives_failed"], r["files_extracted"]) == (4, 2, 0, 2, 2)
     assert len(r["errors"]) == 2
-    done = files.archive_manifest(spark, str(folder))
-    again = files.extraction_report(spark, str(folder), c, done)
-    assert (again["archives_skipped"], again["files_extracted"]) == (3, 0) or again["archives_skipped"] == 2
-    assert files.extraction_report(spark, str(folder), Ingestion())["enabled"] is False
-    docs = files.load_documents(spark, str(folder), c)
-    assert {r["text"] for r in docs.collect()} >= {"one", "two", "B\nb"}
+    names = {r["file_name"]: bytes(r["content"]) for r in files.extracted(spark, str(folder), c).collect()}
+    assert names == {"f.txt": b"one", "f_1.txt": b"two"}
+    # a second run passes over what was read, and fails again on what wasn't
+    r = files.extract(spark, str(folder), c)
+    assert (r["archives_extracted"], r["archives_skipped"], r["archives_failed"], r["files_extracted"]) == (0, 2, 2, 0)
+    assert files.extract(spark, str(folder), Ingestion())["enabled"] is False
+    for _ in range(2):
+        docs = [r["text"] for r in files.load_documents(spark, str(folder), c).orderBy("doc_idx").collect()]
+        assert docs == ["one", "two", "E", "F", "<html>C", "B\nb", b"\xe9a\xf0\x9f\x98".decode("utf-8", "replace")]
+
+
+def test_colliding_names(spark, folder):
+    """Names that are taken already, by members of this archive, another of its name, or files on disk, are passed over."""
+    (folder / "_extracted" / "a").mkdir()
+    (folder / "_extracted" / "a" / "g.txt").write_text("on disk")
+    (folder / "b").mkdir(exist_ok=True)
+    _zip(folder / "a.zip", [("1/f.txt", "0"), ("2/f.txt", "1"), ("f_1.txt", "2"), ("g.txt", "3"), ("noext", "4"), ("x/noext", "5")])
+    _zip(folder / "b" / "a.zip", [("f.txt", "6")])
+    c = Ingestion(extract_zip=True)
+    files.extract(spark, str(folder), c)
+    got = sorted((r["content"].decode(), r["file_name"]) for r in files.extracted(spark, str(folder), c).collect())
+    assert got == [("0", "f.txt"), ("1", "f_1.txt"), ("2", "f_1_1.txt"), ("3", "g_1.txt"), ("4", "noext"), ("5", "noext_1"), ("6", "f_2.txt")]
+    _zip(folder / "a.zip", [("f.txt", "7")])
+    files.extract(spark, str(folder), c)
+    assert files.extracted(spark, str(folder), c).where("file_name = 'f_3.txt'").first()["content"] == b"7"
+    texts = [r["text"] for r in files.load_documents(spark, str(folder), c).collect()]
+    assert len(texts) == 5 + 1 + 6 and sorted(t for t in texts if len(t) == 1 and t.isdigit()) == ["0", "1", "2", "3", "6", "7"]
 
 
 def test_archive_manifest_file(spark, folder, tmp_path):
-    _zip(folder / "a.zip", [("f.txt", "one")])
     path = str(tmp_path / "m.json")
-    files.save_archive_manifest(files.archive_manifest(spark, str(folder)), path)
-    assert files.load_archive_manifest(spark, path).count() == 1
+    files.save_archive_manifest(spark, {"a.zip": "00"}, path)
+    assert [tuple(r) for r in files.load_archive_manifest(spark, path).collect()] == [("a.zip", "00")]
     (tmp_path / "bad.json").write_text("{")
     assert files.load_archive_manifest(spark, str(tmp_path / "bad.json")).count() == 0
+    assert files.load_archive_manifest(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_markers_over_many_blocks(spark, tmp_path):
+    """Pieces keep their places whatever the blocks that tasks read."""
+    texts = [f"{i} " + "é\n" * (i * 37 % 101) + "x" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_idx long, text string").repartition(7)
+    path = str(tmp_path / "c.txt")
+    assert sinks.write_markers(docs, path) == 200
+    assert open(path, encoding="utf-8", newline="").read() == "\n\n".join(f"<DOCUMENT_START>\n{t}\n<DOCUMENT_END>" for t in texts)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        parts = files.pieces(spark, path, files.START)
+        assert parts.select("at").distinct().count() == 201
+        assert [r["text"] for r in files.split_prepared(parts).orderBy("part_idx").collect()] == texts
+        assert [r["text"] for r in files.split_raw(parts).orderBy("doc_idx").collect()] == texts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    (tmp_path / "empty.txt").write_text("")
+    assert files.raw_marker_file(spark, str(tmp_path / "empty.txt")).count() == 0
+    assert sinks.write_markers(docs.limit(0), str(tmp_path / "none.txt")) == 0 and (tmp_path / "none.txt").read_text() == ""
 
 
 def test_markers(spark, tmp_path):
@@ -93,7 +132,7 @@ def test_metadata_lines(spark, tmp_path):
     got = files.metadata_lines(spark, str(p)).collect()
     assert [(r["document_id"], r["status"], r["cleaned_length"]) for r in got] == [("a", "success", 3)]
     out = str(tmp_path / "o" / "x.jsonl")
-    sinks.write_lines(files.metadata_lines(spark, str(p)), out)
+    sinks.write_lines(files.metadata_lines(spark, str(p)).drop("line"), out, "document_id")
     assert json.loads(open(out).read()) == rows[2]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan.operators import splits
 from inkspan.plans.config import Ingestion, Preparation, Tokenizer
+from inkspan.sources import sinks
 
 
 def _docs(spark, n=100):
@@ -22,8 +23,8 @@ def test_other_configs():
     for bad in ({"vocab_size": 200}, {"min_frequency": 0}, {"encoding": "ascii"}, {"trainer": "x"}):
         with pytest.raises(ValueError):
             Tokenizer(**bad)
-    with pytest.raises(ValueError):
-        Ingestion(max_extracted_file_size=-1)
+    with pytest.raises(ValueError, match="max_extracted_file_size.*max_total_extracted_size"):
+        Ingestion(max_extracted_file_size=-1, max_total_extracted_size=-1)
 
 
 def test_value_at_rank(spark):
@@ -84,7 +85,7 @@ def test_leakage_and_manifest(spark, tmp_path):
     c = Preparation("company")
     got = splits.split_companies(_docs(spark), c)
     path = str(tmp_path / "m.json")
-    splits.manifest_json(got, c, path, "ticker")
+    sinks.write_manifest(got, c, path, "ticker")
     found = splits.load_manifest(path)
     assert found["strategy"] == "company" and found["train"] == sorted(found["train"]) and len(found["company_assignments"]) == 9
     listed = splits.manifest_frame(spark, found)
