@@ -1,29 +1,32 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is factored, greedily from left to right, against the rest of the corpus. The corpus is indexed in
-reference blocks; a block owns all phrases whose anchor hashes to it, and a document asks each block that can hold a match.
-
-* **Phrases.** Each window of ``window`` words selects an anchor: the ``gram``-word sequence in it with the least hash (the
-  leftmost of equals). Neighbouring windows with the same anchor make a phrase, the longest piece that one look-up can
-  match. The choice depends on the window's words alone, so equal windows fall under equal anchors wherever they stand:
-  the block of that anchor sees every occurrence, and no other block can hold one. About ``2 / (window - gram + 2)`` rows
-  per word are indexed.
-* **Factors.** If all phrases under an anchor are the same and there are two or more, the parse moves on by a whole phrase:
-  a factor goes on. If they differ, this phrase is at a factor's boundary: a factor began or ended inside it.
-* **Boundaries.** Only phrases at boundaries are checked window by window, by a count of each window's own hash over all
-  documents that have the anchor.
-
-A window thus counts as repeated exactly if its words also start elsewhere (up to collisions of 64-bit hashes), and a span
-is a run of words that repeated windows cover. All decisions are made on the input, not on what is left.
-
-At scale: one exchange of (anchor, phrase) pairs that are partly aggregated first, one of (anchor, document) pairs as a
-join that adaptive execution can split at hot anchors (the counts are dealt anew before it, so both sides have exchanges of
-their own), one of the texts. Nothing is broadcast or collected, no group is
-gathered: counts only, except for the list of its own anchors that each document gets back.
+Every document is factored, greedily from left to right, against a reference that holds each repeated sequence of ``window``
+words once: where it first occurs, by row key and position. A factor is the longest match of ``window`` words or more that
+begins at a window, as (source, position, length); the source's key names its reference block. After a factor ends, the first
+window that crosses its boundary is checked, and so on, so repeats that only begin inside a factor are found as well. As the
+reference holds each window once, the window at which a match begins tells its only place there, and a match goes on as long as
+the next window's place is the next one: greedy factors follow from the places of windows, and no text of the reference
+travels.
+
+* **Index.** Places are looked up by phrases. Each window selects an anchor: the ``gram``-word sequence in it with the least
+  hash (the leftmost of equals). Neighbouring windows with the same anchor make a phrase. The choice depends on the window's
+  words alone, so equal windows fall under equal anchors wherever they stand, and one look-up by the anchor's hash reaches the
+  only part of the index that can hold them. About ``2 / (window - gram + 2)`` rows a word are indexed and asked for.
+* **Whole phrases.** If all phrases under an anchor are the same and there are two or more, the first one's place gives that
+  of all windows in it.
+* **Boundaries.** If they differ, a factor begins or ends inside: the windows of these phrases are looked up one by one.
+
+A window is covered by a factor exactly if its words also start elsewhere (up to collisions of 64-bit hashes). All decisions
+are made on the input, not on what is left.
+
+At scale: one exchange of phrases, partly aggregated first, one of (anchor, row) pairs as a join that adaptive execution can
+split at hot anchors (the counts are dealt anew before it, so both sides have exchanges of their own), the same for windows
+at boundaries, two of the texts. Nothing is broadcast or collected, and no group is gathered: an anchor or window has a count
+and one place, however often it occurs, and a row gets back what concerns its own words, each fact once.
 
 Defined results: a null text has no words; text shorter than a window loses nothing; rows that repeat an id or a whole row
-are documents of their own (their windows repeat); an empty table gives an empty table; columns of the input whose names
-this operator writes are replaced, all others are kept.
+are documents of their own (their windows repeat); rows are told apart by a hash of id and text, so null ids are no group; an
+empty table gives an empty table; columns of the input whose names this operator writes are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 WINDOW, GRAM = 35, 8
+#: Reference blocks.
+BLOCKS = 4096
 #: Low bits of an anchor's sort key that hold its place in the chunk.
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -52,13 +57,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a chunk. ``window_at``: first words of all windows; ``run``: the phrase of each; by phrase: ``anchor``, ``content``, ``doc``."""
+    """The phrases of a chunk. ``window_at``: first words of all windows; ``run``: the phrase of each, ``inner``: its place in that; by
+    phrase: ``anchor``, ``content``, ``doc``, and ``start``, the word of ``doc`` at which it begins."""
 
     def __init__(self, words: C.Words, window: int, gram: int):
         hashes, counts = words.hashes(), words.counts()
         n, last = len(hashes), np.repeat(words.first[1:], counts)
         self.window_at = at = np.flatnonzero(np.arange(n) + window <= last)
-        self.run = self.anchor = self.content = self.doc = np.zeros(0, np.int64)
+        self.run = self.inner = self.anchor = self.content = self.doc = self.start = np.zeros(0, np.int64)
         self.windows = np.zeros(0, np.uint64)
         if not len(at):
             return
@@ -70,37 +76,61 @@ class Phrases:
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         self.run = np.cumsum(new) - 1
-        inner = np.arange(len(at)) - first[self.run]
+        self.inner = np.arange(len(at)) - first[self.run]
         lengths = np.diff(np.append(first, len(at)))
         self.anchor = grams[place[first]].view(np.int64)
-        self.content = C.mix(np.add.reduceat(self.windows * C.powers("run", width)[inner], first) + lengths.astype(np.uint64)).view(np.int64)
+        self.content = C.mix(np.add.reduceat(self.windows * C.powers("run", width)[self.inner], first) + lengths.astype(np.uint64)).view(np.int64)
         self.doc = np.searchsorted(words.first, at[first], "right") - 1
+        self.start = at[first] - words.first[self.doc]
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    """All entries of a list column, sorted, once each."""
-    return np.unique(np.asarray(C.to_array(column).flatten(), dtype=np.int64)) if len(column) else np.zeros(0, np.int64)
+class Places:
+    """Where the reference holds what a chunk's rows asked for: ``hash``, sorted and once each, ``source`` and ``position``."""
 
+    def __init__(self, column: pa.Array):
+        flat = C.to_array(column).flatten()
+        fields = [np.asarray(flat.field(i), dtype=np.int64) for i in range(3)] if len(flat) else [np.zeros(0, np.int64)] * 3
+        self.hash, at = np.unique(fields[0], return_index=True)
+        self.source, self.position = fields[1][at], fields[2][at]
 
-def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(known, x)
-    at[at == len(known)] = 0
-    return known[at] == x
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are held, and the number of each that is."""
+        if not len(self.hash):
+            return np.zeros(len(x), bool), np.zeros(0, np.int64)
+        at = np.searchsorted(self.hash, x)
+        at[at == len(self.hash)] = 0
+        found = self.hash[at] == x
+        return found, at[found]
 
 
-def _phrases(text: str, window: int, gram: int):
+def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``columns``, the first of which names groups, and where each group starts in it."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = columns[0][order[1:]] != columns[0][order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+def _index(key: str, text: str, window: int, gram: int):
+    """Of each anchor in a chunk: how many phrases it has there, their least and largest content, and the first one's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.chunks(batch, text):
                 p = Phrases(C.Words(part.column(text)), window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(p.anchor), pa.array(p.content)], names=["anchor", "content"])
+                keys = np.asarray(part.column(key))[p.doc]
+                order, first = _first_of(p.anchor, keys, p.start)
+                content = p.content[order]
+                times = np.diff(np.append(first, len(order)))
+                lo, hi = (f.reduceat(content, first) if len(first) else content for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p.anchor[order][first], times, lo, hi, keys[order][first], p.start[order][first].astype(np.int32))], names=["anchor", "n", "lo", "hi", "source", "position"])
 
     return run
 
 
-def _anchors(key: str, text: str, window: int, gram: int):
+def _asked(key: str, text: str, window: int, gram: int):
+    """(anchor, row), each once a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.chunks(batch, text):
@@ -116,36 +146,56 @@ def _anchors(key: str, text: str, window: int, gram: int):
 
 
 def _boundary_windows(key: str, text: str, window: int, gram: int):
+    """(window, row, times, position): windows of phrases that differ from others of their anchor, with the first place in the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.chunks(batch, text):
-                p = Phrases(C.Words(part.column(text)), window, gram)
-                take = _in(p.anchor, _flat(part.column("__boundary")))[p.run] if len(p.run) else np.zeros(0, bool)
-                keys = np.asarray(part.column(key))[p.doc[p.run[take]]] if take.any() else np.zeros(0, np.int64)
-                values = p.windows[take].view(np.int64)
-                order = np.lexsort((keys, values))
-                values, keys = values[order], keys[order]
+                words = C.Words(part.column(text))
+                p = Phrases(words, window, gram)
+                boundary = np.unique(np.asarray(C.to_array(part.column("__boundary")).flatten(), dtype=np.int64))
+                take = np.isin(p.anchor, boundary)[p.run] if len(p.run) else np.zeros(0, bool)
+                doc = p.doc[p.run[take]]
+                keys, values, at = np.asarray(part.column(key))[doc], p.windows[take].view(np.int64), p.window_at[take] - words.first[doc]
+                order = np.lexsort((at, keys, values))
+                values, keys, at = values[order], keys[order], at[order]
                 new = np.ones(len(values), bool)
                 new[1:] = (values[1:] != values[:-1]) | (keys[1:] != keys[:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(keys[first]), pa.array(times.astype(np.int64))], names=["window", key, "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(keys[first]), pa.array(times.astype(np.int64)), pa.array(at[first].astype(np.int32))], names=["window", key, "times", "position"])
 
     return run
 
 
-def _cut(text: str, window: int, gram: int, with_text: bool, fields: list[str], schema: pa.Schema):
+def factors(p: Phrases, whole: Places, single: Places, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of a chunk's documents: source, position there, first word (of the chunk) and number of words of each."""
+    source, position, held = np.zeros(len(p.run), np.int64), np.zeros(len(p.run), np.int64), np.zeros(len(p.run), bool)
+    for places, names, offset in ((whole, p.anchor[p.run], p.inner), (single, p.windows.view(np.int64), np.zeros(len(p.run), np.int64))):
+        found, at = places.find(names)
+        held |= found
+        source[found], position[found] = places.source[at], places.position[at] + offset[found]
+    at, source, position = p.window_at[held], source[held], position[held]
+    # a match goes on while the next window's place is the next one of the same source
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (position[1:] != position[:-1] + 1)
+    # the next window may be another document's
+    first_windows = np.append(True, p.doc[p.run[1:]] != p.doc[p.run[:-1]]) if len(p.run) else np.zeros(0, bool)
+    new |= first_windows[held]
+    first = np.flatnonzero(new)
+    return source[first], position[first], at[first], np.diff(np.append(first, len(at))) + window - 1
+
+
+def _cut(text: str, lookups: tuple[str, str, str], window: int, gram: int, with_text: bool, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.chunks(batch, text):
                 words = C.Words(part.column(text))
                 p, n, n_docs = Phrases(words, window, gram), len(words), part.num_rows
+                source, position, begin, length = factors(p, *(Places(part.column(c)) for c in lookups[1:]), window)
                 edge = np.zeros(n + 1, np.int64)
-                if len(p.run):
-                    whole, single = _in(p.anchor, _flat(part.column("__whole"))), _flat(part.column("__windows"))
-                    begin = p.window_at[whole[p.run] | _in(p.windows.view(np.int64), single)]
-                    edge[begin] += 1
-                    edge[begin + window] -= 1
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 keep, counts = ~gone, words.counts()
                 doc_of = np.repeat(np.arange(n_docs), counts)
@@ -167,10 +217,15 @@ def _cut(text: str, window: int, gram: int, with_text: bool, fields: list[str],
                     a, b = flips[::2], flips[1::2]
                     # a span that goes on in the next document is two spans
                     inner = words.first[1:-1]
-                    a = np.union1d(a, inner[_in(inner, np.flatnonzero(gone)) & _in(inner - 1, np.flatnonzero(gone))])
+                    inner = inner[(inner > 0) & (inner < n)]
+                    a = np.union1d(a, inner[gone[inner] & gone[inner - 1]])
                     b = np.minimum(b[np.searchsorted(b, a, "right")], words.first[np.searchsorted(words.first, a, "right")]) if len(a) else a
                     of = np.searchsorted(words.first, a, "right") - 1
                     spans = pa.StructArray.from_arrays([pa.array((a - words.first[of]).astype(np.int64)), pa.array((b - a).astype(np.int64))], names=["first_word", "n_words"])
+                    doc = np.searchsorted(words.first, begin, "right") - 1
+                    parsed = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (source % BLOCKS, source, position, begin - words.first[doc], length)], names=["block", "source", "position", "first_word", "n_words"])
+                    new["factors"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)), parsed)
+                    new["row_key"] = part.column(lookups[0])
                     new["spans"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n_docs + 1)).astype(np.int32)), spans)
                 yield pa.RecordBatch.from_arrays([new[f] if f in new else part.column(f) for f in fields], names=fields)
 
@@ -180,33 +235,37 @@ def _cut(text: str, window: int, gram: int, with_text: bool, fields: list[str],
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Find the words that windows repeated anywhere in ``docs`` cover.
 
-    Adds n_words, n_removed, kept_sha256 and, ``with_text``, kept_text (the other words, joined by spaces) and spans
-    (first_word and n_words of each duplicate span). ``keep``: the columns that are kept; all, if None.
+    Adds n_words, n_removed, kept_sha256 and, ``with_text``, kept_text (the other words, joined by spaces), spans (first_word
+    and n_words of each duplicate span), factors (block, source, position there, first_word and n_words of each, in order; a
+    factor that is its own source is where the reference has it from) and row_key (by which factors name sources). ``keep``: the columns that are kept; all, if None.
     """
-    spark = docs.sparkSession
-    names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text", "spans"] * with_text
-    base = C.replace_columns(docs if keep is None else docs.select(*dict.fromkeys([*keep, doc_id, text])), set(names))
-    key = C.free_name(base, "__key")
-    # The lists that a document gets back hold facts about word sequences, so rows of one key may share them.
-    base = base.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)))
+    made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
+    if with_text:
+        longs = lambda *names: T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in names]))
+        made |= {"kept_text": T.StringType(), "spans": longs("first_word", "n_words"), "factors": longs("block", "source", "position", "first_word", "n_words"), "row_key": T.LongType()}
+    base = C.replace_columns(docs if keep is None else docs.select(*dict.fromkeys([*keep, doc_id, text])), set(made))
+    kept = base.schema.fields
+    key, whole_, windows_ = (C.free_name(base, n) for n in ("__key", "__whole", "__windows"))
+    base = base.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
     narrow = base.select(key, text)
-
-    phrases = base.select(text).mapInArrow(_phrases(text, window, gram), "anchor long, content long")
-    index = phrases.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n >= 2").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"))
-    asked = narrow.mapInArrow(_anchors(key, text, window, gram), f"anchor long, `{key}` long")
-    found = C.durable(asked.join(index.hint("rebalance"), "anchor").groupBy(key).agg(F.collect_list(F.when(~F.col("differ"), F.col("anchor"))).alias("__whole"), F.collect_list(F.when(F.col("differ"), F.col("anchor"))).alias("__boundary")))
-
-    edges = base.join(found.where(F.size("__boundary") > 0).select(key, "__boundary").hint("shuffle_hash"), key)
-    windows = C.durable(edges.select(key, text, "__boundary").mapInArrow(_boundary_windows(key, text, window, gram), f"window long, `{key}` long, times long"))
-    again = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n >= 2").select("window")
-    single = windows.join(again.hint("rebalance"), "window").groupBy(key).agg(F.collect_list("window").alias("__windows"))
-
-    full = base.join(found.select(key, "__whole").hint("shuffle_hash"), key, "left").join(single.hint("shuffle_hash"), key, "left")
-    kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType(), "spans": T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))}
-    kept = [f for f in base.schema.fields if f.name != key]
-    schema = T.StructType([*kept, *[T.StructField(n, kinds[n]) for n in names]])
-    fields = [f.name for f in schema.fields]
-    return full.select(*[F.col(f"`{f.name}`") for f in kept], "__whole", "__windows").mapInArrow(_cut(text, window, gram, with_text, fields, None), schema)
+    place = [F.min("source").alias("source"), F.min_by("position", "source").alias("position")]
+
+    phrases = narrow.mapInArrow(_index(key, text, window, gram), "anchor long, n long, lo long, hi long, source long, position int")
+    index = phrases.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *place).where("n >= 2").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"), "source", "position")
+    asked = narrow.mapInArrow(_asked(key, text, window, gram), f"anchor long, `{key}` long")
+    at = F.struct(F.col("anchor").alias("hash"), "source", F.col("position").cast("long").alias("position"))
+    # sets: rows that are the same have one list, whatever their number
+    found = C.durable(asked.join(index.hint("rebalance"), "anchor").groupBy(key).agg(F.collect_set(F.when(~F.col("differ"), at)).alias("__whole"), F.collect_set(F.when(F.col("differ"), F.col("anchor"))).alias("__boundary")))
+
+    edges = narrow.join(found.where(F.size("__boundary") > 0).select(key, "__boundary").hint("shuffle_hash"), key)
+    windows = C.durable(edges.select(key, text, "__boundary").mapInArrow(_boundary_windows(key, text, window, gram), f"window long, `{key}` long, times long, position int"))
+    again = windows.withColumnRenamed(key, "source").groupBy("window").agg(F.sum("times").alias("n"), *place).where("n >= 2").select("window", "source", "position")
+    at = F.struct(F.col("window").alias("hash"), "source", F.col("position").cast("long").alias("position"))
+    single = windows.select("window", key).join(again.hint("rebalance"), "window").groupBy(key).agg(F.collect_set(at).alias("__windows"))
+
+    full = base.join(found.select(key, F.col("__whole").alias(whole_)).hint("shuffle_hash"), key, "left").join(single.withColumnRenamed("__windows", windows_).hint("shuffle_hash"), key, "left")
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in made.items()]])
+    return full.select(*[F.col(f"`{f.name}`") for f in kept], key, whole_, windows_).mapInArrow(_cut(text, (key, whole_, windows_), window, gram, with_text, schema.fieldNames()), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -52,6 +53,65 @@ def test_parts_of_equal_windows_at_every_place(spark):
     _check(df, texts)
 
 
+def parse(docs, keys, window):
+    """A plain greedy parse: each word by word, against a reference that holds each repeated window where it first occurs."""
+    seen = Counter(tuple(d[i : i + window]) for d in docs for i in range(len(d) - window + 1))
+    owners = {}
+    for k, i, d in sorted((k, i, d) for k, d in zip(keys, docs, strict=True) for i in range(len(d) - window + 1)):
+        w = tuple(d[i : i + window])
+        if seen[w] > 1:
+            owners.setdefault(w, (k, i))
+    reference: dict[int, dict[int, str]] = {}
+    starts: dict[int, set[int]] = {}
+    of = dict(zip(keys, docs, strict=True))
+    for k, i in owners.values():
+        starts.setdefault(k, set()).add(i)
+        reference.setdefault(k, {}).update({j: of[k][j] for j in range(i, i + window)})
+    out = []
+    for d in docs:
+        found, p = [], 0
+        while p + window <= len(d):
+            best = (0, 0, 0)
+            for k, held in reference.items():
+                for q in starts[k]:
+                    n = window if all(held.get(q + x) == d[p + x] for x in range(window)) else 0
+                    # a match goes on over windows that the reference holds
+                    while n and p + n < len(d) and q + n - window + 1 in starts[k] and held.get(q + n) == d[p + n]:
+                        n += 1
+                    best = max(best, (n, k, q))
+            if best[0]:
+                found.append((best[1], best[2], p, best[0]))
+            p += max(1, best[0] - window + 1)
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_are_those_of_a_greedy_parse(spark, seed):
+    rng = random.Random(20 + seed)
+    passages = [" ".join(f"p{rng.randrange(12)}" for _ in range(rng.randint(8, 40))) for _ in range(6)]
+    texts = [" ".join(rng.choice(passages) if rng.random() < 0.6 else f"v{rng.randrange(900)}" for _ in range(rng.randint(0, 8))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sorted(S.substring_dedup(df, window=10, gram=3).collect(), key=lambda r: r["doc_id"])
+    want = parse([t.split() for t in texts], [r["row_key"] for r in rows], 10)
+    assert [[(f["source"], f["position"], f["first_word"], f["n_words"]) for f in r["factors"]] for r in rows] == want
+    assert sum(map(len, want)) > 20 and any(f["source"] != r["row_key"] for r in rows for f in r["factors"])
+    assert all(0 <= f["block"] < S.BLOCKS for r in rows for f in r["factors"])
+
+
+def test_null_and_repeated_ids_are_no_group(spark):
+    """10 000 rows of 5000 repeated texts without an id: facts go to rows by their own words, not by their id."""
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(45)) for _ in range(5000)]
+    df = spark.createDataFrame([(None, t) for t in texts * 2], "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    got = S.substring_dedup(df, with_text=False).select("n_removed").distinct().collect()
+    assert [r[0] for r in got] == [45]
+    assert time.perf_counter() - began < 40
+    same = spark.createDataFrame([(7, texts[0])] * 3000 + [(8, texts[1])], "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["n_removed"]) for r in S.substring_dedup(same, with_text=False).collect()} == {(7, 45), (8, 0)}
+
+
 def test_edges(edge, empty):
     rows = S.substring_dedup(edge).collect()
     assert len(rows) == edge.count()
