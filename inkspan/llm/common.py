@@ -55,8 +55,8 @@ def to_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts have about ``most`` bytes together, and one row at least."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``rows`` rows whose texts have about ``most`` bytes together, and one row at least."""
     n = batch.num_rows
     if not n:
         return
@@ -64,7 +64,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
     ends, at = np.cumsum(sizes), 0
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -6,9 +6,9 @@ vectors, a language's prototype the bundle over its learning texts, and a text g
 mean of all prototypes, has the largest cosine with the text's vector, less the same mean.
 
 The sum over a text's trigrams is the product of its trigram counts with the table of trigram vectors, which gives the
-same integers with far less work; the table is made for the trigrams of each chunk only, so nothing of the size of the
-alphabet's cube is held. Letters are folded to lower case; 'a' to 'z' and the letters U+00DF to U+00FF have symbols of their own,
-other letters share the rest, all that is not a letter is one gap. Words are padded by a gap on both sides.
+same integers with far less work; vectors are made for the letters and trigrams of each chunk only, from a hash of the letter,
+so every letter of every script has one of its own. Letters are folded to lower case; all that is not a letter is one gap. Words
+are padded by a gap on both sides. A chunk has at most ``CHUNK_ROWS`` texts, which bounds its counts whatever their lengths.
 
 Prototypes are learned from all learning rows, as exact integer sums by (language, place): DIM rows a language reach the
 driver. Prediction is a scan without an exchange.
@@ -35,8 +35,10 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-DIM, SYMBOLS, SEED = 1024, 128, 7
-_GAP, _PLAIN, _LATIN, _REST = 0, 1, 27, 60
+DIM, SEED = 1024, 7
+CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 256
+#: The symbol of all that is not a letter; that of a letter is its code point.
+_GAP = 0
 #: A limit is this share of the likeness that all but 5 % of a language's labelled texts reach, or less where they vary more.
 SHARE = 0.6
 #: Three standard deviations of the cosine of vectors that have nothing in common.
@@ -48,74 +50,79 @@ COMMONEST = 512
 SIZES = COMMONEST.bit_length()
 
 
-def _symbol_table() -> np.ndarray:
-    """The symbol of each code point under U+10000; letters of higher planes are treated alike by :func:`symbols`."""
-    table = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        if 0xD800 <= cp < 0xE000 or not unicodedata.category(chr(cp)).startswith("L"):
-            continue
-        low = ord(chr(cp).lower()[0])
-        if 97 <= low <= 122:
-            table[cp] = _PLAIN + low - 97
-        elif 0xDF <= low <= 0xFF:
-            table[cp] = _LATIN + low - 0xDF
-        else:
-            table[cp] = _REST + low % (SYMBOLS - _REST)
-    return table
+_cache: dict = {}
 
 
-_cache: dict[str, np.ndarray] = {}
+def _symbol(cp: int) -> int:
+    c = chr(cp)
+    return ord(c.lower()[0]) if unicodedata.category(c).startswith("L") else _GAP
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _cache:
-        _cache["symbols"] = _symbol_table()
-        _cache["letters"] = (np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIM)) * 2 - 1).astype(np.float32)
-    return _cache["symbols"], _cache["letters"]
+def _table() -> np.ndarray:
+    """The symbol of each code point under U+10000."""
+    if "symbols" not in _cache:
+        _cache["symbols"] = np.array([_symbol(cp) for cp in range(0x10000)], np.uint32)
+    return _cache["symbols"]
 
 
 def symbols(code_points: np.ndarray) -> np.ndarray:
-    table, _ = _tables()
-    out = table[np.minimum(code_points, 0xFFFF)]
-    for i in np.flatnonzero(code_points > 0xFFFF):
-        cp = int(code_points[i])
-        out[i] = _REST + cp % (SYMBOLS - _REST) if unicodedata.category(chr(cp)).startswith("L") else _GAP
+    out = _table()[np.minimum(code_points, 0xFFFF)]
+    high = np.flatnonzero(code_points > 0xFFFF)
+    if len(high):
+        kinds, at = np.unique(code_points[high], return_inverse=True)
+        out[high] = np.array([_symbol(int(cp)) for cp in kinds], np.uint32)[at]
     return out
 
 
+def letter_vectors(alphabet: np.ndarray) -> np.ndarray:
+    """A vector of DIM signs for each symbol, from a hash of it: 64 signs a hash."""
+    words = np.arange(1, DIM // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = C.mix(C.mix(alphabet.astype(np.uint64) + np.uint64(SEED << 32))[:, None] + words[None, :])
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
 def trigram_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents x trigrams) counts of a chunk, the trigrams' codes, and which documents have a letter."""
+    """(documents x trigrams) counts of a chunk, the trigrams' symbols (n x 3), and which documents have a letter."""
     texts = [t or "" for t in array.to_pylist()]
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     sym = symbols(np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32))
-    ends = np.cumsum(lengths)
     # runs of gaps become one, but each document keeps one at its start and end
     keep = (sym != _GAP) | (np.concatenate([[1], sym[:-1]]) != _GAP)
-    first = ends - lengths
     doc_of = np.repeat(np.arange(len(texts)), lengths)
-    sym, doc_of = sym[keep].astype(np.int64), doc_of[keep]
+    sym, doc_of = sym[keep], doc_of[keep]
     has = np.bincount(doc_of[sym != _GAP], minlength=len(texts)) > 0
-    del first
     if len(sym) < 2:
-        return np.zeros((len(texts), 0), np.float32), np.zeros(0, np.int64), has
-    before = np.concatenate([[_GAP], sym[:-1]])
-    code = (before[:-1] * SYMBOLS + sym[:-1]) * SYMBOLS + sym[1:]
-    same = (doc_of[1:] == doc_of[:-1]) & (sym[:-1] != _GAP)
+        return np.zeros((len(texts), 0), np.float32), np.zeros((0, 3), np.uint32), has
+    # symbols are numbered within the chunk, in their own order, so trigrams are in the same order in every chunk
+    seen = np.zeros(0x110000, bool)
+    seen[sym] = True
+    seen[_GAP] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    local, n = number[sym], len(alphabet)
+    before = np.concatenate([[0], local[:-1]])
+    code = (before[:-1] * n + local[:-1]) * n + local[1:]
+    same = (doc_of[1:] == doc_of[:-1]) & (local[:-1] != 0)
     code, of = code[same], doc_of[:-1][same]
-    seen = np.zeros(SYMBOLS**3, bool)
-    seen[code] = True
-    codes = np.flatnonzero(seen)
-    place = np.zeros(SYMBOLS**3, np.int32)
-    place[codes] = np.arange(len(codes))
-    counts = np.bincount(of * len(codes) + place[code], minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
-    return counts.astype(np.float32), codes, has
-
-
-def bind(codes: np.ndarray) -> np.ndarray:
-    """The vectors of trigrams."""
-    _, letters = _tables()
-    a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
-    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+    if n**3 <= 1 << 21:
+        there = np.zeros(n**3, bool)
+        there[code] = True
+        codes = np.flatnonzero(there)
+        place = np.zeros(n**3, np.int32)
+        place[codes] = np.arange(len(codes))
+        place = place[code]
+    else:
+        codes, place = np.unique(code, return_inverse=True)
+    counts = np.bincount(of * len(codes) + place, minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
+    return counts.astype(np.float32), alphabet[np.stack([codes // n**2, codes // n % n, codes % n], axis=1)].astype(np.uint32), has
+
+
+def bind(trigrams: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams, given as rows of three symbols."""
+    alphabet, at = np.unique(trigrams, return_inverse=True)
+    letters, at = letter_vectors(alphabet), at.reshape(trigrams.shape)
+    return np.roll(letters, 2, axis=1)[at[:, 0]] * np.roll(letters, 1, axis=1)[at[:, 1]] * letters[at[:, 2]]
 
 
 def bundles(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +156,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in C.chunks(batch, "__text", 1 << 19):
+            for part in C.chunks(batch, "__text", CHUNK_BYTES, CHUNK_ROWS):
                 names = np.array(part.column("__lang").to_pylist(), object)
                 counts, codes, _ = trigram_counts(part.column("__text"))
-                vectors = bind(codes) if len(codes) else np.zeros((0, DIM), np.float32)
                 for name in dict.fromkeys(names.tolist()):
                     # counts are summed first; the bundle of a sum is the sum of the bundles
-                    sums[name] = sums.get(name, 0) + counts[names == name].sum(axis=0, dtype=np.float64) @ vectors.astype(np.float64)
+                    of = counts[names == name].sum(axis=0, dtype=np.float64)
+                    for at in range(0, len(codes), 4096):
+                        sums[name] = sums.get(name, 0) + of[at : at + 4096] @ bind(codes[at : at + 4096]).astype(np.float64)
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.rint(np.broadcast_to(total, (DIM,))).astype(np.int64))], names=["lang", "place", "total"])
 
@@ -179,7 +187,7 @@ def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            for part in C.chunks(batch, "__text", 1 << 19):
+            for part in C.chunks(batch, "__text", CHUNK_BYTES, CHUNK_ROWS):
                 label = np.array([index.get(x, -1) for x in part.column("__lang").to_pylist()], np.int64)
                 vectors, once, size, has = profiles(part.column("__text"))
                 ok = has & (label >= 0)
@@ -221,7 +229,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.chunks(batch, text, 1 << 19):
+            for part in C.chunks(batch, text, CHUNK_BYTES, CHUNK_ROWS):
                 if least is None:
                     vectors, has = bundles(part.column(text))
                 else:
