@@ -1,8 +1,9 @@
 """Document fingerprints by randomised edit embedding.
 
 A pointer walks over the characters of a text. At step j it stays or moves on, as a random function that all texts share
-says for (j, character), and the embedding's j-th symbol is what stands at the pointer. Texts a small edit distance apart
-fall into step again soon after each edit, so the Hamming distance of their embeddings follows their edit distance.
+says for (j, character): a hash of the two, so steps never repeat and every character is its own. The embedding's j-th symbol
+is what stands at the pointer. Texts a small edit distance apart fall into step again soon after each edit, so the Hamming
+distance of their embeddings follows their edit distance.
 
 The fingerprint samples the embedding at fixed places: up to ``PER_OCTAVE`` in each octave [2**k, 2**(k + 1)), over the
 whole walk, however long. A sample is one hexadecimal digit: a hash of the ``GRAM`` characters from the pointer on, or 0
@@ -12,8 +13,9 @@ it stands for, less what chance would give, so it estimates the share of the emb
 Walks go in step over thousands of texts at once; the last few, longest texts of a chunk are walked one by one.
 
 :func:`fingerprint_pairs` gives each document the next one by id, at the cost of one exchange of the texts: ids alone are
-dealt into ranges first, and the first document of each range is also sent to the range before it. :func:`near_groups`
-bands the fingerprints and verifies candidates.
+dealt into ranges first (of id, then of a hash of the text, so rows of one id or none are no group), and the first document of
+each range is also sent to the range before it. :func:`near_groups` samples places of the fingerprints for bands and verifies
+all that share one; the query ``near_fingerprints`` applies it to all documents.
 
 Defined results: null texts count as empty; an empty text has the empty fingerprint, which is like another empty one (1.0)
 and unlike all others (0.0). Null ids come first; rows that share an id are ordered by a hash of their text. The only
@@ -34,14 +36,15 @@ from . import common as C
 from .components import components
 
 PER_OCTAVE, OCTAVES, GRAM, SEED = 32, 40, 4, 11
-#: The shared random function repeats after so many steps.
-PERIOD = 4096
-CLASSES = 64
+#: Steps whose moves are made at once, for all characters of a chunk.
+STEPS = 256
 CHUNK = 6 << 20
 _LANES = 48
 #: Nodes of a band that are compared at once.
 BLOCK = 256
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
+_VALUES = np.zeros(256, np.uint8)
+_VALUES[_DIGITS] = np.arange(16)
 
 
 def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,27 +64,12 @@ def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PLACES, OCTAVE_OF, OCTAVE_SIZE = _plan()
 
 
-def _moves() -> np.ndarray:
-    """For each step of the period and class of characters, 0 or 1; the class 0 ends a text and never moves."""
-    moves = np.random.default_rng(SEED + 1).integers(0, 2, (PERIOD, CLASSES)).astype(np.uint8)
-    moves[:, 0] = 0
-    return moves
-
-
-MOVES = _moves()
-_MOVES_FLAT = MOVES.tobytes()
-
-
-def _longest_stay() -> int:
-    """The most steps that a character can take, the one that moves on included, at whatever step it is reached."""
-    stay, longest = np.zeros(CLASSES - 1, np.int64), 0
-    for row in np.concatenate([MOVES, MOVES])[:, 1:]:
-        stay = np.where(row, 0, stay + 1)
-        longest = max(longest, int(stay.max()))
-    return longest + 1
-
-
-STAY = _longest_stay()
+def moves(step: int, n: int, alphabet: np.ndarray) -> np.ndarray:
+    """For n steps from ``step`` on, and each character (0: a text's end, which never moves), 0 or 1."""
+    steps = C.mix(np.arange(step, step + n, dtype=np.uint64) + np.uint64((SEED + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    out = (C.mix(steps[:, None] ^ C.mix(alphabet.astype(np.uint64))[None, :]) >> np.uint64(63)).astype(np.uint8)
+    out[:, alphabet == 0] = 0
+    return out
 
 
 def fingerprints(texts: list[np.ndarray]) -> list[str]:
@@ -94,11 +82,17 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     first = np.cumsum(lengths + 1) - lengths - 1
     for t, at in zip(texts, first.tolist(), strict=True):
         points[at : at + len(t)] = t + np.uint32(1)
-    classes = ((points * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(CLASSES - 1) + np.uint32(1)
     ends = first + lengths
-    classes[ends] = 0
-    classes[size:] = 0
-    cls = classes.astype(np.uint8)
+    # characters are numbered within the chunk; the end is number 0
+    seen = np.zeros(0x110001, bool)
+    seen[points] = True
+    seen[0] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.zeros(0x110001, np.uint32)
+    number[alphabet] = np.arange(len(alphabet))
+    cls = number[points]
+    if len(alphabet) <= 256:
+        cls = cls.astype(np.uint8)
     # the gram's characters after a text's end count as nothing: each document's last ones are made anew below
     grams = np.zeros(size, np.uint32)
     for g in range(GRAM):
@@ -113,49 +107,57 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     grams *= np.uint32(0x85EBCA6B)
     symbols = ((grams >> np.uint32(16)) % np.uint32(15) + np.uint32(1)).astype(np.uint8)
     symbols[ends] = 0
-    del points, classes, grams
+    del points, grams, number, seen
 
-    # no walk has more than STAY steps a character, and lanes go on to the end of their last 256 steps
-    n_samples = int(np.searchsorted(PLACES, 256 * max(1, -(-STAY * int(lengths.max()) // 256))))
-    out = np.zeros((len(texts), n_samples), np.uint8)
+    # a walk has about two steps a character; room is added for those that take more
+    out = np.zeros((len(texts), int(np.searchsorted(PLACES, 3 * int(lengths.max()) + STEPS))), np.uint8)
     active = np.argsort(-lengths, kind="stable")
     active = active[lengths[active] > 0]
     pos = first[active].astype(np.int64)
     step, sample = 0, 0
     while len(active) > _LANES:
-        for _ in range(256):
+        table = moves(step, STEPS, alphabet)
+        for row in table:
             if PLACES[sample] == step:
+                if sample == out.shape[1]:
+                    out = np.pad(out, ((0, 0), (0, PER_OCTAVE)))
                 out[active, sample] = symbols[pos]
                 sample += 1
-            pos += MOVES[step % PERIOD].take(cls.take(pos))
+            pos += row.take(cls.take(pos))
             step += 1
         going = cls.take(pos) > 0
         active, pos = active[going], pos[going]
-    for lane, at in zip(active.tolist(), pos.tolist(), strict=True):
-        _alone(cls, symbols, at, step, sample, out[lane])
-    fit = out.shape[1] - np.argmax(out[:, ::-1] > 0, axis=1)
+    alone = {lane: _alone(cls, symbols, alphabet, at, step, sample) for lane, at in zip(active.tolist(), pos.tolist(), strict=True)}
+    fit = out.shape[1] - np.argmax(out[:, ::-1] > 0, axis=1) if out.shape[1] else np.zeros(len(texts), np.int64)
     fit[~out.any(axis=1)] = 0
     digits = _DIGITS[out]
-    return [digits[i, : fit[i]].tobytes().decode() for i in range(len(texts))]
+    return [digits[i, : fit[i]].tobytes().decode() if i not in alone else (digits[i, :sample].tobytes() + _DIGITS[alone[i]].tobytes()).decode() for i in range(len(texts))]
 
 
-def _alone(cls: np.ndarray, symbols: np.ndarray, start: int, step: int, sample: int, out: np.ndarray) -> None:
-    """The rest of one text's walk, from ``start`` at ``step``."""
+def _alone(cls: np.ndarray, symbols: np.ndarray, alphabet: np.ndarray, start: int, step: int, sample: int) -> list[int]:
+    """The symbols sampled in the rest of one text's walk, from ``start`` at ``step``."""
     stop = start + int(np.argmin(cls[start:] > 0))
-    own, moves, at = cls[start : stop + 1].tobytes(), _MOVES_FLAT, 0
-    end, row = len(own) - 1, CLASSES * PERIOD
+    kinds, own = np.unique(cls[start : stop + 1], return_inverse=True)
+    width, of = len(kinds), alphabet[kinds]
+    own = own.astype(np.uint8).tobytes() if width <= 256 else own.tolist()
+    most = max(64, (1 << 20) // width)
+    out, at, end = [], 0, len(own) - 1
+    table, begin, upto = b"", step, step
     while at < end:
         to = int(PLACES[sample])
         while step < to and at < end:
-            begin = step % PERIOD * CLASSES
-            run = min(to - step, PERIOD - step % PERIOD)
-            for b in range(begin, min(begin + run * CLASSES, row), CLASSES):
-                at += moves[b + own[at]]
-            step += run
+            if step == upto:
+                begin, upto = step, step + most
+                table = moves(step, most, of).tobytes()
+            run = min(to, upto)
+            for b in range((step - begin) * width, (run - begin) * width, width):
+                at += table[b + own[at]]
+            step = run
         if at >= end:
             break
-        out[sample] = symbols[start + at]
+        out.append(int(symbols[start + at]))
         sample += 1
+    return out
 
 
 def likeness(a: str, b: str) -> float:
@@ -238,20 +240,30 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.coalesce("id", F.lit(-(2**63))))
-    # the least id of each range, a row a range
-    ids = rows.select("key").repartitionByRange(4 * n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("head"))
-    heads = np.array(sorted({r["head"] for r in ids.collect()}), np.int64)
+    # null ids before the least one, then by a hash of the text
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.when(F.col("id").isNotNull(), F.lit(1 << 62)).otherwise(F.lit(0)))
+    # the least (id, tie) of each range, a row a range
+    ids = rows.select("key", "tie").repartitionByRange(4 * n, "key", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("key", "tie")).alias("head"))
+    heads = sorted({tuple(r["head"]) for r in ids.collect()})
+    keys, ties = (np.array([h[i] for h in heads], np.int64) for i in (0, 1))
 
     @F.pandas_udf("part int, before int")
-    def place(keys: pd.Series) -> pd.DataFrame:
-        part = np.searchsorted(heads, keys.to_numpy(), "right") - 1
-        before = np.where(heads[part] == keys.to_numpy(), (part - 1) % len(heads), -1)
+    def place(key: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        k, t = key.to_numpy(), tie.to_numpy()
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        part = high - 1
+        # rows whose id begins one range or several are told apart by the tie
+        for lo in np.unique(low[low < high]):
+            of = np.flatnonzero((low == lo) & (low < high))
+            part[of] = lo - 1 + np.searchsorted(ties[lo : high[of[0]]], t[of], "right")
+        is_head = (keys[part] == k) & (ties[part] == t)
+        before = np.where(is_head, (part - 1) % len(keys), -1)
         return pd.DataFrame({"part": part.astype(np.int32), "before": before.astype(np.int32)})
 
     to = F.array(F.struct(F.col("at.part").alias("part"), F.lit(0).alias("extra")))
     both = F.concat(to, F.array(F.struct(F.col("at.before").alias("part"), F.lit(1).alias("extra"))))
-    dealt = rows.withColumn("at", place("key")).select("id", "key", "text", F.explode(F.when(F.col("at.before") >= 0, both).otherwise(to)).alias("to"))
-    placed = dealt.select("to.part", "to.extra", "id", "key", "text").repartition(n, "part").sortWithinPartitions("part", "extra", "key", F.col("id").isNotNull(), F.xxhash64("text"))
+    dealt = rows.withColumn("at", place("key", "tie")).select("id", "key", "tie", "text", F.explode(F.when(F.col("at.before") >= 0, both).otherwise(to)).alias("to"))
+    placed = dealt.select("to.part", "to.extra", "id", "key", "tie", "text").repartition(n, "part").sortWithinPartitions("part", "extra", "key", "tie")
     return placed.mapInArrow(_pairs, _SCHEMA)
 
 
@@ -290,32 +302,38 @@ def _links(rows: list[tuple], threshold: float) -> pa.RecordBatch:
 
 
 def near_groups(prints: DataFrame, threshold: float = 0.7, bands: int = 24, rows: int = 6, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """Groups of alike fingerprints: (doc_id, class_id). Ids must be unique and not null.
+    """Groups of alike fingerprints: (doc_id, class_id), a row for each row of ``prints``; class_id is the least id in the class.
 
-    Equal fingerprints are one node. Each band takes ``rows`` samples of one octave, the octave of the band's choice among
+    Equal fingerprints are one node, named by a hash of theirs, so ids may be null or repeat. At most 10 ``rows``. Each band takes ``rows`` samples of one octave, the octave of the band's choice among
     those that the fingerprint fills; all nodes that share a band are compared, by pairs of blocks of ``BLOCK`` or so, and
     links of likeness ``threshold`` or more are closed to components. Empty fingerprints form one group.
     """
-    nodes = C.durable(prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("node")))
+    nodes = C.durable(prints.groupBy(F.coalesce(F.col(fingerprint), F.lit("")).alias("fp")).agg(F.min(doc_id).alias("least"))).withColumn("node", F.xxhash64("fp"))
 
     samples = {(k, b): np.random.default_rng((SEED, k, b)).permutation(int(OCTAVE_SIZE[k]))[:rows].tolist() for k in range(OCTAVES) for b in range(bands)}
 
+    starts = np.searchsorted(OCTAVE_OF, np.arange(OCTAVES + 1))
+
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(band, node): octave, band and sampled digits as one number."""
         for batch in batches:
-            keys, ids = [], []
-            for fp, node in zip(batch.column("fp").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                if not fp:
-                    continue
-                top = int(OCTAVE_OF[len(fp) - 1])
-                for k in range(max(0, top - 3), top + 1):
-                    lo, hi = np.searchsorted(OCTAVE_OF, [k, k + 1])
-                    own = fp[lo:hi]
-                    for b in range(bands):
-                        at = samples[k, b]
-                        if all(i < len(own) and own[i] != "0" for i in at):
-                            keys.append(f"{k}.{b}." + "".join(own[i] for i in at))
-                            ids.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], names=["band", "node"])
+            prints, ids = batch.column("fp").to_pylist(), np.asarray(batch.column("node"))
+            some = np.flatnonzero([bool(fp) for fp in prints])
+            if not len(some):
+                continue
+            width = max(len(prints[i]) for i in some)
+            grid = _VALUES[np.frombuffer("".join(prints[i].ljust(width, "0") for i in some).encode(), np.uint8)].reshape(len(some), width)
+            top = OCTAVE_OF[[len(prints[i]) - 1 for i in some]]
+            for k in range(int(top.max()) + 1):
+                of = np.flatnonzero((top >= k) & (top <= k + 3))
+                for b in range(bands if len(of) else 0):
+                    at = starts[k] + np.array(samples[k, b])
+                    if at.max() >= width:
+                        continue
+                    own = grid[np.ix_(of, at)].astype(np.int64)
+                    full = (own > 0).all(axis=1)
+                    key = (own << (4 * np.arange(len(at)))).sum(axis=1) + ((k * bands + b) << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[full]), pa.array(ids[some[of[full]]])], names=["band", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -327,21 +345,40 @@ def near_groups(prints: DataFrame, threshold: float = 0.7, bands: int = 24, rows
                 held.append(row[1:])
         yield _links(held, threshold)
 
-    banded = nodes.mapInArrow(band, "band string, node long")
+    banded = nodes.mapInArrow(band, "band long, node long")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     # each block of a band meets each block, itself included, once
     dealt = banded.join(shared.hint("rebalance"), "band").select("band", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(nodes, "node")
+    met = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(nodes.select("node", "fp"), "node")
     placed = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     roots = components(placed.mapInArrow(compare, "u long, v long").distinct())
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("class_id"))
-    return prints.select(doc_id, F.col(fingerprint).alias("fp")).join(classes, "fp").select(doc_id, "class_id")
+    facts = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    classes = facts.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = facts.join(classes.hint("rebalance"), "root").select("node", "class_id")
+    return prints.select(doc_id, F.xxhash64(F.coalesce(F.col(fingerprint), F.lit(""))).alias("node")).join(named.hint("rebalance"), "node").select(doc_id, "class_id")
 
 
 def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(C.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_edit_fingerprint": op10_edit_fingerprint}
+def own_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fingerprint) alone, by a scan without an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.chunks(batch, "text"):
+                prints = fingerprints([_points(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of alike fingerprints over all documents, by banding and verification."""
+    return near_groups(C.durable(own_fingerprints(C.read(spark, sf_dir, "documents"))))
+
+
+QUERIES = {"op10_edit_fingerprint": op10_edit_fingerprint, "near_fingerprints": near_fingerprints}
 SQL: dict[str, str] = {}

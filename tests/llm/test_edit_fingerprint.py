@@ -1,15 +1,25 @@
+import functools
 import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkspan.llm import edit_fingerprint as E
 
 
+@functools.cache
+def _block(block, point):
+    return E.moves(block * 1024, 1024, E.np.array([0, point]))[:, 1]
+
+
+def move(step, point):
+    return _block(step // 1024, point)[step % 1024]
+
+
 def walk(text):
     """The embedding, one step at a time: the symbols at the sampled places."""
     points = [int(p) + 1 for p in E._points(text)]
-    cls = [((p * 2654435761 % 2**32) >> 20) % (E.CLASSES - 1) + 1 for p in points]
 
     def symbol(i):
         g = 0
@@ -24,7 +34,7 @@ def walk(text):
         if E.PLACES[sample] == step:
             out.append("0123456789abcdef"[symbol(at)])
             sample += 1
-        at += int(E.MOVES[step % E.PERIOD][cls[at]])
+        at += int(move(step, points[at]))
         step += 1
     return "".join(out)
 
@@ -46,19 +56,27 @@ def test_many_short_texts():
 
 @pytest.mark.parametrize("copies", [1, 60])
 def test_slowest_texts(copies):
-    letters = {}
-    for p in range(33, 3000):
-        letters.setdefault((((p + 1) * 2654435761 % 2**32) >> 20) % (E.CLASSES - 1) + 1, chr(p))
-    slow, step = "", 0
-    while len(slow) < 400:  # each letter is the one that stays longest from its step on
-        stays = {c: next(n for n in range(E.PERIOD) if E.MOVES[(step + n) % E.PERIOD][c]) + 1 for c in letters}
+    """Each letter is the one that stays longest from its step on, so the walk is far longer than most."""
+    slow, step, letters = "", 0, "abcdefghijklmnopqrstuvwxyz"
+    while len(slow) < 300:
+        stays = {c: next(n for n in range(999) if move(step + n, ord(c) + 1)) + 1 for c in letters}
         c = max(stays, key=stays.get)
-        slow, step = slow + letters[c], step + stays[c]
-    assert 6 * len(slow) + 64 < step <= E.STAY * len(slow)
+        slow, step = slow + c, step + stays[c]
+    assert step > 4 * len(slow) + 256
     texts = [slow[: len(slow) - i] for i in range(copies)]
     assert E.fingerprints([E._points(t) for t in texts]) == [walk(t) for t in texts]
 
 
+def test_moves_have_no_period_and_tell_characters_apart():
+    m = E.moves(0, 1 << 14, E.np.arange(1, 400)).astype(float)
+    assert abs(m.mean() - 0.5) < 0.01
+    assert abs(E.np.corrcoef(m[:4096].ravel(), m[4096:8192].ravel())[0, 1]) < 0.01
+    assert abs(E.np.corrcoef(m.T) - E.np.eye(399)).max() < 0.06
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (3, 50, 800)] * 25  # more than 256 characters
+    assert E.fingerprints([E._points(t) for t in texts]) == [walk(t) for t in texts]
+
+
 def test_likeness_follows_edits():
     rng = random.Random(2)
     base = "".join(rng.choice("abcdefghij klmno") for _ in range(3000))
@@ -97,13 +115,24 @@ def test_pairs_equal_brute_force(spark, n):
     assert sorted(map(tuple, E.fingerprint_pairs(df).collect())) == sorted(_brute(rows))
 
 
-def test_small_chunks_change_nothing(spark, monkeypatch):
-    rows = [(i, f"text number {i} " * (i % 40)) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want = sorted(map(tuple, E.fingerprint_pairs(df).collect()))
+def test_small_chunks_change_nothing(monkeypatch):
+    rows = [(0, 0, i, f"text number {i} " * (i % 40)) for i in range(200)] + [(0, 1, 200, "after")]
+    batch = E.pa.RecordBatch.from_pydict(dict(zip(("part", "extra", "id", "text"), map(list, zip(*rows, strict=True)), strict=True)))
+    digests = lambda: sorted(tuple(r.values()) for b in E._pairs(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist())
+    want = digests()
     monkeypatch.setattr(E, "CHUNK", 100)
-    assert list(E._pairs.__globals__["CHUNK"] for _ in [0]) == [100]
-    assert want == sorted(_brute(rows))
+    assert digests() == want == sorted(_brute([r[2:] for r in rows])[:200])
+
+
+def test_null_and_hot_ids_are_dealt(spark):
+    """Rows without an id, or of one id, are dealt by a hash of their text; each meets the next one all the same."""
+    rng = random.Random(11)
+    rows = [(None if i % 3 else 5 + i % 2, f"text {rng.random()} " * 3) for i in range(400)] + [(-(2**63), "least"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda: df.withColumn("t", F.shiftrightunsigned(F.xxhash64("text"), 2)).orderBy(F.col("doc_id").asc_nulls_first(), "t")
+    src = [(r["doc_id"], r["text"]) for r in order().collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, E.fingerprint_pairs(df).collect()), key=key) == sorted(_brute(src), key=key)
 
 
 def test_edges(edge, empty):
@@ -141,6 +170,9 @@ def test_near_groups(spark):
     found = {(i, j) for i in range(len(rows)) for j in range(i) if got[i] == got[j]}
     assert found <= want and len(found) >= 0.95 * len(want)
     assert got[48] == got[0] and got[49] == got[50]
+    odd = spark.createDataFrame([(None, "1234"), (3, "1234"), (3, "1234"), (4, None), (None, "")], "doc_id long, fingerprint string")
+    assert sorted((r["doc_id"] or 0, r["class_id"]) for r in E.near_groups(odd).collect()) == [(0, 3), (0, 4), (3, 3), (3, 3), (4, 4)]
+    assert E.near_groups(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("block", [256, 4])
