@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkspan.llm import mixing as M
@@ -23,6 +24,16 @@ def test_rake_meets_targets():
     assert np.allclose([share(0, "a"), share(0, "b"), share(1, "x"), share(2, "p")], [0.5, 0.25, 0.7, 0.5])
 
 
+def test_raking_stops_at_the_tolerance_and_reports():
+    cells, tokens = [("a", "x", "p"), ("a", "y", "p"), ("b", "x", "p"), ("b", "y", "p")], np.array([10.0, 20, 30, 5])
+    found: dict = {}
+    w = M.rake(cells, tokens, {"source": 0.0, "lang": 0.0, "topic": 1.0}, report=found)
+    assert found["residual"] <= M.TOLERANCE and 2 < found["rounds"] < 60 and np.allclose([w[:2].sum(), w[::2].sum()], 32.5)
+    # contradicting targets: all of language x in b, none of it allowed there
+    M.rake([("a", "y", "p"), ("b", "x", "p")], np.array([5.0, 5.0]), {"source": {"a": 1.0, "b": 0.0}, "lang": {"x": 1.0, "y": 0.0}, "topic": 1.0}, rounds=30, report=found)
+    assert found["rounds"] == 30 and found["residual"] > 0.5
+
+
 def test_probabilities_spend_the_budget():
     rng = np.random.default_rng(3)
     for fraction in (0.05, 0.5, 0.95):
@@ -45,11 +56,23 @@ def test_sample_meets_the_mix(spark):
     assert got.where("keep").join(more, "doc_id", "left_anti").count() == 0
 
 
-def test_many_cells_give_the_same(spark):
-    docs = _docs(spark, 300)
-    one = {r["doc_id"]: r["probability"] for r in M.mix(docs, rounds=4).collect()}
-    other = {r["doc_id"]: r["probability"] for r in M.mix(docs, rounds=4, max_cells=0).collect()}
+@pytest.mark.parametrize("targets", [{}, {"source": {"hot": 0.2, "none": 0.3}, "lang": {"de": 0.6, "en": 0.4}, "topic": 0.5}])
+def test_many_cells_give_the_same(spark, targets):
+    docs, a, b = _docs(spark, 300), {}, {}
+    one = {r["doc_id"]: r["probability"] for r in M.mix(docs, targets, rounds=12, report=a).collect()}
+    other = {r["doc_id"]: r["probability"] for r in M.mix(docs, targets, rounds=12, max_cells=0, report=b).collect()}
     assert one.keys() == other.keys() and np.allclose([one[i] for i in one], [other[i] for i in one])
+    assert abs(a["residual"] - b["residual"]) < 1e-9 and abs(a["rounds"] - b["rounds"]) <= 1
+
+
+def test_topics_from_a_column_and_narrow_facts(spark):
+    docs = _docs(spark, 400).withColumn("theme", F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")))
+    wide = M.mix(docs, topic="theme")
+    narrow = M.mix(docs, topic="theme", columns=["doc_id"])
+    assert narrow.columns == ["doc_id", "topic", "n_tokens", "probability", "keep"] and {r[0] for r in narrow.select("topic").distinct().collect()} == {"t0", "t1", "t2"}
+    assert sorted(narrow.collect()) == sorted(wide.select(*narrow.columns).collect())
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" not in plan and "text" not in plan  # texts were scanned before, once
 
 
 def test_topics(one):
