@@ -16,8 +16,9 @@ COLUMNS = {
     "op6_jaccard_join": {"doc_id", "class_id", "n_links", "n_copies"},
     "op7_warc_fixity": {"page_id", "offset", "length", "digest", "status"},
     "op8_mixing": {"doc_id", "source", "lang", "topic", "n_tokens", "probability", "keep"},
-    "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op9_toxicity": {"doc_id", "held_out", "score", "predicted", "spans"},
     "op10_edit_fingerprint": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "near_fingerprints": {"doc_id", "class_id"},
 }
 KINDS = {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double", "held_out": "boolean", "lang_pred": "string", "n_removed": "bigint", "size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint", "grown_shard": "int", "predicted": "int", "n_chars": "bigint", "near_edited": "double", "near_next": "double"}
 
@@ -32,3 +33,10 @@ def test_columns(spark, name):
     got = registry.QUERIES[name](spark, DATA)
     assert set(got.columns) == COLUMNS[name]
     assert all(KINDS.get(c, k) == k for c, k in got.dtypes)
+    key = next(c for c in ("doc_id", "page_id", "query_id") if c in got.columns)
+    if key != "query_id":
+        table = {"doc_id": "documents", "page_id": "pages"}[key]
+        want = spark.read.parquet(f"{DATA}/{table}.parquet").select(key)
+        assert sorted(got.select(key).collect()) == sorted(want.collect())
+    for c in {"score", "near_edited", "near_next", "probability"} & set(got.columns) if key != "query_id" else ():
+        assert got.where(f"{c} is null or {c} < 0 or {c} > 1").count() == 0
