@@ -4,14 +4,18 @@ Documents are sets of hashed five-word shingles, sketched by ``COORDS`` minwise
 coordinate with a probability equal to their similarity. Each run starts with all sets at a root and splits them
 recursively: a node of the path draws one coordinate, and with chance 1/4 a second, from a hash of the path, and every set
 goes on to the child that its own token of that coordinate names. Sets that share no token part at once. Nodes of at most
-``leaf`` sets are compared by brute force, larger ones split again, up to ``depth`` times; what is still larger then (many
-sets alike) is compared in blocks, pair of blocks by pair of blocks, so no case is dropped. Runs repeat until the chance
-that a pair at the threshold met nowhere is below ``1 - recall``.
+``leaf`` sets are compared by brute force, larger ones split again, up to ``depth`` times. What is still larger then are mostly
+sets alike, which no split parts: one run compares them in blocks, pair of blocks by pair of blocks, and closes what it finds to
+components; in the other runs a large node is left out if all of it lies in one component already, and else only its smaller
+components are compared, with all of it. So no case is dropped, and sets that are known to be connected are not compared again.
+Runs repeat until the chance that a pair at the threshold met nowhere is below ``1 - recall``.
 
 Brute force in a leaf compares sketches and keeps links of estimate ``THRESHOLD - 4 sigma`` or more, as a forest. Components
 of these candidate links are then verified as a whole on the texts: within a component all pairs are counted exactly, as a
-matrix product of incidence blocks, so a pair that met in no leaf still counts if other links connect it. Documents with
-equal shingle sets are one node throughout and are never expanded into pairs.
+matrix product of incidence blocks, so a pair that met in no leaf still counts if other links connect it. A component of more
+than ``BLOCK`` sets is verified by differences: each text is shingled once, only what its set differs in from one member's goes
+to pairs of blocks, and the intersection of two sets follows from that of their differences. Documents with equal shingle sets
+are one node throughout and are never expanded into pairs.
 
 Words are those of the pattern ``[^\\x20\\x09-\\x0D]+``, unchanged. A document of 1 to 4 words has one shingle; one without
 words, or null, has none: it links to nothing and is a class of its own. Rows that repeat an id or a text are documents of
@@ -19,7 +23,9 @@ their own; class_id is the least id in the class (null only if no member has an
 
 At scale: the texts are scanned once for sketches and exchanged once to verify candidates; all else is narrow. Nothing is
 collected but row counts and checksums. Counts are dealt anew before they are joined back, so that adaptive execution can
-split these joins at a hot key. Node sizes are known before rows are gathered, so no task gets more than two blocks.
+split these joins at a hot key. Node sizes are known before rows are gathered, so no task gets more than two blocks. A
+difference is copied ``COPIES`` times, up to components of ``COPIES * LARGEST`` sets; beyond that once for each ``LARGEST`` of them, which counting the links of all pairs needs
+if a task's memory is to be bounded.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 from .components import components
@@ -38,6 +44,10 @@ COORDS, SHINGLE, THRESHOLD = 64, 5, 0.8
 DEPTH, LEAF, RECALL = 3, 200, 0.9999
 #: Sets in a block of a node that is still large at the last level, and documents in a block of the exact check.
 SKETCH_BLOCK, BLOCK = 1000, 256
+#: Blocks that a large component is cut into, if these hold between SMALLEST and LARGEST sets.
+COPIES, SMALLEST, LARGEST = 32, 64, 4096
+#: Low bits of a path that name its run.
+_RUN = np.uint64(63)
 _U = np.uint64
 _SCALE = C.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _SHIFT = C.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
@@ -88,7 +98,7 @@ def _children(paths: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
     two = np.flatnonzero(((draw >> _U(40)) & _U(3) == 0) & (a != b))
     rows, coord = np.concatenate([rows, two]), np.concatenate([a, b[two]])
     child = C.mix(paths[rows] * _U(0x9FB21C651E98DF25) + C.mix(sketch[rows, coord] + coord.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-    return rows, child
+    return rows, child & ~_RUN | paths[rows] & _RUN
 
 
 def _roots(runs: int) -> Callable:
@@ -98,7 +108,7 @@ def _roots(runs: int) -> Callable:
                 part = batch.slice(at, 4096)
                 sketch, node = _tokens(part.column("sketch")), np.asarray(part.column("node"))
                 for r in range(runs):
-                    rows, child = _children(C.mix(np.full(len(node), r + 1, np.uint64)), sketch)
+                    rows, child = _children(C.mix(np.full(len(node), r + 1, np.uint64)) & ~_RUN | _U(r % 64), sketch)
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(node[rows])], names=["path", "node"])
 
     return run
@@ -161,8 +171,39 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarra
     return order[label[place]]
 
 
+#: Groups of more rows are compared column by column of their marks, smaller ones all at once.
+_MANY = 48
+
+
+def _alike_in_group(marks: np.ndarray, size: np.ndarray, minor: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """(minor rows x all rows): which pairs have ``least`` marks in common and sizes that allow the threshold."""
+    by_column = np.ascontiguousarray(marks.T)
+    out = np.empty((len(minor), len(marks)), bool)
+    for at in range(0, len(minor), 512):
+        rows = minor[at : at + 512]
+        same = np.zeros((len(rows), len(marks)), np.uint8)
+        for c in by_column:
+            same += c[rows][:, None] == c[None, :]
+        small, large = np.minimum(size[rows][:, None], size[None, :]), np.maximum(size[rows][:, None], size[None, :])
+        out[at : at + 512] = (same >= least) & (small >= threshold * large - 1e-9)
+    return out
+
+
+def _least(links: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each column of ``links``, whose row r stands for column rows[r], the least column of its component."""
+    n = links.shape[1]
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        old = label.copy()
+        label[rows] = np.minimum(label[rows], np.where(links, label[None, :], n).min(axis=1, initial=n))
+        label = np.minimum(label, np.where(links, label[rows][:, None], n).min(axis=0, initial=n))
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
 def _alike(threshold: float) -> Callable:
-    """Candidate links within sorted groups (path, pair): a forest of (u, v).
+    """Candidate links within sorted groups (path, pair): a forest of (u, v). Pairs without a ``minor`` row are left out.
 
     The group of two different blocks leaves out what the groups of each block alone say, so the rows of a large node go as
     its size, not as its size times its blocks.
@@ -175,23 +216,35 @@ def _alike(threshold: float) -> Callable:
             marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, COORDS)
             start = _starts(table, ["path", "pair"])
             length = np.diff(np.append(start, table.num_rows))
-            left, right = [], []
-            for m in np.unique(length[length > 1]):
-                for at in np.array_split(start[length == m], max(1, int((length == m).sum()) * m * m // 200_000)):
-                    i, j = np.triu_indices(m, 1)
-                    for piece in np.array_split(np.arange(len(i)), max(1, len(i) // 100_000)):
-                        a, b = (at[:, None] + i[piece]).ravel(), (at[:, None] + j[piece]).ravel()
-                        ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-                        a, b = a[ok], b[ok]
-                        ok = np.count_nonzero(marks[a] == marks[b], axis=1) >= least
-                        left.append(a[ok])
-                        right.append(b[ok])
-            a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+            minor = np.asarray(C.to_array(table.column("minor")).to_numpy(zero_copy_only=False), bool)
             block = np.asarray(C.to_array(table.column("block")))
+            cross = np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start)
+            left, right, u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], node.copy(), node.copy()
+            for m in np.unique(length[length > 1]).tolist():
+                of = start[length == m]
+                if m > _MANY:
+                    for at in of.tolist():
+                        # in the order of nodes, so that the least row is the least node
+                        rows = at + np.argsort(node[at : at + m], kind="stable")
+                        few = np.flatnonzero(minor[rows])
+                        links = _alike_in_group(marks[rows], size[rows], few, threshold, least)
+                        v[rows] = node[rows[_least(links, few)]]
+                        if block[at : at + m].min() != block[at : at + m].max():
+                            u[rows] = node[rows[_least(links & (block[rows[few]][:, None] == block[rows][None, :]), few)]]
+                    continue
+                i, j = np.triu_indices(m, 1)
+                for at in np.array_split(of, max(1, len(of) * len(i) // 100_000)):
+                    a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                    ok = (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9) & (minor[a] | minor[b])
+                    a, b = a[ok], b[ok]
+                    ok = np.count_nonzero(marks[a] == marks[b], axis=1) >= least
+                    left.append(a[ok])
+                    right.append(b[ok])
+            a, b = np.concatenate(left), np.concatenate(right)
             own = block[a] == block[b]
-            cross = np.repeat(np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start), length)
-            u = np.where(cross, node[_forest(len(node), a[own], b[own], node)], node)
-            v = node[_forest(len(node), a, b, node)]
+            few = np.repeat(length <= _MANY, length)
+            u[few] = np.where(np.repeat(cross, length), node[_forest(len(node), a[own], b[own], node)], node)[few]
+            v[few] = node[_forest(len(node), a, b, node)][few]
             u, v = np.unique(np.stack([u, v])[:, u != v], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -216,49 +269,134 @@ def _intersections(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counted(node: np.ndarray, block: np.ndarray, copies: np.ndarray, sizes: np.ndarray, both: np.ndarray, threshold: float) -> tuple:
+    """(node, root, links) of a group, given the sizes of all intersections; of two different blocks only what lies across counts."""
+    links = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+    np.fill_diagonal(links, False)
+    if len(np.unique(block)) > 1:
+        links &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(links))
+    return node, node[_forest(len(node), i, j, node)], links @ copies
+
+
+def _batch_of(found: list[tuple]) -> pa.RecordBatch:
+    """found: (comp, blocks, node, root, links) of groups."""
+    sizes = [len(x[2]) for x in found]
+    comp, multi = (np.repeat(np.array([x[c] for x in found]), sizes) for c in (0, 1))
+    node, root, n = (np.concatenate(x) for x in list(zip(*found, strict=True))[2:])
+    return pa.RecordBatch.from_arrays([pa.array(comp), pa.array(multi.astype(np.int32)), pa.array(node), pa.array(root), pa.array(n.astype(np.int64))], names=["comp", "blocks", "node", "root", "links"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Iterator[list[pa.Table]]:
+    for table in _gathered(batches, by, most=most):
+        start = _starts(table, by).tolist()
+        yield [table.slice(lo, hi - lo) for lo, hi in zip(start, [*start[1:], table.num_rows], strict=True)]
+
+
+def _column(part: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(C.to_array(part.column(name)))
+
+
 def _verify(text: str, shingle: int, threshold: float) -> Callable:
+    """All pairs of components of at most BLOCK sets, from the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = ["comp", "pair"]
-        for table in _gathered(batches, by, most=512):
-            start = _starts(table, by)
+        for parts in _groups(batches, ["comp"], 512):
             found: list[tuple] = []
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
-                part = table.slice(lo, hi - lo)
-                node, block, copies = (np.asarray(C.to_array(part.column(c))) for c in ("node", "block", "n_docs"))
+            for part in parts:
+                node, copies = _column(part, "node"), _column(part, "n_docs")
                 values, first = C.shingle_sets(C.Words(C.to_array(part.column(text))), shingle)
                 sizes, some, nodes = _nodes(values, first)
                 own = np.zeros(len(node), np.int64)
                 own[some] = nodes.view(np.int64)
                 # a row whose text only shares the hash of the one meant goes
-                _, one = np.unique(node, return_index=True) if (own == node).all() else (0, np.array([np.flatnonzero((node == x) & (own == x))[0] for x in np.unique(node[own == node])], np.int64))
+                one = np.flatnonzero(own == node)
                 if len(one) < len(node):
-                    values = np.concatenate([values[first[d] : first[d + 1]] for d in one])
-                    node, block, copies, sizes = node[one], block[one], copies[one], sizes[one]
+                    values = np.concatenate([values[:0], *[values[first[d] : first[d + 1]] for d in one]])
+                    node, copies, sizes = node[one], copies[one], sizes[one]
                     first = np.concatenate([[0], np.cumsum(sizes)])
-                both = _intersections(values, first)
-                total = sizes[:, None] + sizes[None, :] - both
-                links = both >= threshold * total - 1e-9
-                np.fill_diagonal(links, False)
-                if len(np.unique(block)) > 1:
-                    links &= block[:, None] != block[None, :]
-                i, j = np.nonzero(np.triu(links))
-                root = node[_forest(len(node), i, j, node)]
-                found.append((node, root, links @ copies))
-            node, root, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            comp = np.repeat(np.asarray(C.to_array(table.column("comp")))[start], [len(x[0]) for x in found])
-            multi = np.repeat(np.asarray(C.to_array(table.column("blocks")))[start], [len(x[0]) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(multi), pa.array(node), pa.array(root), pa.array(n.astype(np.int64))], names=["comp", "blocks", "node", "root", "links"])
+                found.append((_column(part, "comp")[0], 1, *_counted(node, np.zeros(len(node)), copies, sizes, _intersections(values, first), threshold)))
+            yield _batch_of(found)
+
+    return run
+
+
+def _set_rows(text: str, shingle: int) -> Callable:
+    """The shingle set of each text, as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.chunks(batch, text):
+                values, first = C.shingle_sets(C.Words(part.column(text)), shingle)
+                _, some, nodes = _nodes(values, first)
+                own = np.zeros(part.num_rows, np.int64)
+                own[some] = nodes.view(np.int64)
+                at = pa.array(np.flatnonzero(own == np.asarray(part.column("node"))))
+                sets = [values[first[d] : first[d + 1]].tobytes() for d in at.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(at) for c in ("comp", "node", "n_docs", "size")], pa.array(sets, pa.binary())], names=["comp", "node", "n_docs", "size", "set"])
+
+    return run
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set: what it and the reference do not share, how much of that is the reference's, and both sizes."""
+    for batch in batches:
+        rows = []
+        for own, ref in zip(batch.column("set").to_pylist(), batch.column("ref").to_pylist(), strict=True):
+            a, b = np.frombuffer(own, np.uint64), np.frombuffer(ref or b"", np.uint64)
+            d = np.setxor1d(a, b, assume_unique=True)
+            rows.append((d.tobytes(), (len(d) + len(b) - len(a)) // 2, len(b), len(a)))
+        d, miss, ref, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("comp", "node", "n_docs", "size")], pa.array(d, pa.binary()), *[pa.array(x, pa.int64()) for x in (miss, ref, n)]], names=["comp", "node", "n_docs", "size", "d", "miss", "ref", "n"])
+
+
+def _verify_differences(threshold: float) -> Callable:
+    """All pairs of two blocks of a component: if A and B differ from R in a and b, A and B share R less what either misses, which
+    with what both add is |R| - miss(a) - miss(b) + |a and b|."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _groups(batches, ["comp", "pair"], 512):
+            found = []
+            for part in parts:
+                node, block, copies, miss, ref, n = (_column(part, c) for c in ("node", "block", "n_docs", "miss", "ref", "n"))
+                raw = part.column("d").to_pylist()
+                first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+                both = ref[0] - miss[:, None] - miss[None, :] + _intersections(np.frombuffer(b"".join(raw), np.uint64), first)
+                found.append((_column(part, "comp")[0], _column(part, "blocks")[0], *_counted(node, block, copies, n, both, threshold)))
+            yield _batch_of(found)
 
     return run
 
 
-def _in_blocks(df: DataFrame, size: str, most: int) -> DataFrame:
-    """Each row once for each pair of blocks that its block is in; nodes of at most ``most`` rows are one block."""
-    df = df.withColumn("blocks", F.ceil(F.col(size) / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for each pair of blocks that its block is in."""
+    df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return df.withColumn("pair", (F.least("block", "__o") * F.col("blocks") + F.greatest("block", "__o")).cast("long")).drop("__o")
 
 
+def blocks_of(size: Column) -> Column:
+    """Into how many blocks a large component is cut, which is how often a set's differences are copied."""
+    return F.greatest(F.least(F.ceil(size / SMALLEST), F.lit(COPIES)), F.ceil(size / LARGEST))
+
+
+def _rest_of_large(large: DataFrame, known: DataFrame) -> DataFrame:
+    """Of large nodes (path, node), what components (node, root) leave open: (path, pair, block, node, minor).
+
+    Nodes within one component go. Of others the largest component is not compared with itself: the rest is cut into blocks, and
+    these meet each other and the blocks of the largest one.
+    """
+    named = large.select("path", "node").join(known.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = named.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
+    facts = per.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("total")).where("c < total")
+    n_minor, n_major = F.ceil((F.col("total") - F.col("c")) / SKETCH_BLOCK).cast("int"), F.ceil(F.col("c") / SKETCH_BLOCK).cast("int")
+    rows = named.join(facts.select("path", "major", n_minor.alias("n0"), n_major.alias("n1")).hint("rebalance"), "path")
+    minor = F.col("label") != F.col("major")
+    rows = rows.withColumn("block", F.when(minor, F.pmod(F.xxhash64("node"), F.col("n0"))).otherwise(F.col("n0") + F.pmod(F.xxhash64("node"), F.col("n1"))).cast("int"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("n0") + F.col("n1")).otherwise(F.col("n0")) - 1)))
+    return rows.withColumn("minor", minor).select("path", "minor", (F.least("block", "__o") * (F.col("n0") + F.col("n1")) + F.greatest("block", "__o")).cast("long").alias("pair"), "block", "node")
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, depth: int = DEPTH, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (the least id among documents that links connect), n_links (other documents
     of similarity ``threshold`` or more, copies included), n_copies (documents with the same shingles, itself included), and
@@ -282,15 +420,39 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     for more in leaves[1:]:
         every = every.unionByName(more)
     marks = sets.select("node", "n", "sketch").mapInArrow(_marks, "node long, n long, marks binary")
-    placed = _in_blocks(every.join(marks, "node"), "size", SKETCH_BLOCK).repartition("path", "pair").sortWithinPartitions("path", "pair")
-    links = placed.select("path", "pair", "block", "node", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
 
-    comps = C.durable(components(links).withColumnRenamed("root", "comp"))
+    def compared(placed: DataFrame) -> DataFrame:
+        """Candidate links of rows (path, pair, block, node, minor)."""
+        dealt = placed.join(marks, "node").repartition("path", "pair").sortWithinPartitions("path", "pair")
+        return dealt.select("path", "pair", "block", "node", "minor", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
+
+    # nodes that were still large at the last level: one run compares them, the others what that leaves open
+    later = (F.col("size") > leaf) & (F.col("path").bitwiseAND(int(_RUN)) != 0)
+    links = compared(_in_blocks(every.where(~later), F.ceil(F.col("size") / SKETCH_BLOCK)).withColumn("minor", F.lit(True)))
+    comps = C.durable(components(links))
+    large = every.where(later)
+    if not large.isEmpty():
+        rest = compared(_rest_of_large(large, comps))
+        comps = C.durable(components(rest.unionByName(comps.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+    comps = comps.withColumnRenamed("root", "comp")
+
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "row.id", "row.hash", "n_docs"), "node")
     # rows that repeat the representative, id and text, are one before they are gathered
-    texts = narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"])
-    checked = _in_blocks(texts, "size", BLOCK).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
-    exact = C.durable(checked.select("comp", "pair", "blocks", "block", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), "comp long, blocks int, node long, root long, links long"))
+    texts = C.durable(narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"]).select("comp", "node", "n_docs", "size", "__text"))
+    kinds = "comp long, blocks int, node long, root long, links long"
+    small = texts.where(F.col("size") <= BLOCK).repartition("comp").sortWithinPartitions("comp")
+    exact = small.select("comp", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), kinds)
+    big = texts.where(F.col("size") > BLOCK)
+    if not big.isEmpty():
+        shingled = C.durable(big.mapInArrow(_set_rows("__text", shingle), "comp long, node long, n_docs long, size long, set binary"))
+        # a component is named by one of its members, whose set is the reference; a large one's rows are dealt by salt
+        salts = F.ceil(F.col("size") / LARGEST).cast("int")
+        refs = shingled.where("node = comp").select("comp", F.col("set").alias("ref"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        salted = shingled.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(refs, ["comp", "salt"], "left")
+        differing = C.durable(salted.select("comp", "node", "n_docs", "size", "set", "ref").mapInArrow(_differences, "comp long, node long, n_docs long, size long, d binary, miss long, ref long, n long"))
+        pairs = _in_blocks(differing, blocks_of(F.col("size"))).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
+        exact = exact.unionByName(pairs.select("comp", "pair", "blocks", "block", "node", "n_docs", "d", "miss", "ref", "n").mapInArrow(_verify_differences(threshold), kinds))
+    exact = C.durable(exact)
     counts = exact.groupBy("node").agg(F.sum("links").alias("links"))
     roots = exact.where("blocks = 1").select("node", "root")
     across = exact.where("blocks > 1 and root <> node").select(F.col("node").alias("u"), F.col("root").alias("v"))

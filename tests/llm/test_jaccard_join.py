@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkspan.llm import common as C, jaccard_join as J
 
@@ -59,10 +60,14 @@ def test_against_brute_force(spark, seed):
     assert [got[i] for i, _ in rows] == brute(rows)
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("many", [48, 6])
+def test_large_group_in_blocks(spark, monkeypatch, many):
     """A group of alike texts larger than leaves and blocks, and many texts that share a long passage."""
     monkeypatch.setattr(J, "BLOCK", 16)
     monkeypatch.setattr(J, "SKETCH_BLOCK", 20)
+    monkeypatch.setattr(J, "_MANY", many)
+    for name, value in {"COPIES": 3, "SMALLEST": 5, "LARGEST": 30}.items():
+        monkeypatch.setattr(J, name, value)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -78,6 +83,49 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute(rows)
 
 
+def test_copies_are_bounded(spark):
+    got = {r["id"]: r["n"] for r in spark.createDataFrame([(x,) for x in (257, 2500, 20_000, 131_072, 10**7)], "id long").withColumn("n", J.blocks_of(F.col("id"))).collect()}
+    assert got == {257: 5, 2500: 32, 20_000: 32, 131_072: 32, 10**7: 2442}
+
+
+def test_least_of_components():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        rows = np.sort(rng.choice(n, max(1, n // 2), replace=False))
+        links = rng.random((len(rows), n)) < 1.2 / n
+        root = np.arange(n)
+        for r, c in zip(*np.nonzero(links), strict=True):
+            a, b = root[rows[r]], root[c]
+            root[(root == a) | (root == b)] = min(a, b)
+        assert (J._least(links, rows) == root).all()
+
+
+def test_later_runs_compare_what_is_open(spark):
+    """Of a large node only the sets outside its largest component are minor; a node within one component is left out."""
+    large = spark.createDataFrame([(1, n) for n in range(40)] + [(2, n) for n in range(30)] + [(3, 50), (3, 51)], "path long, node long")
+    known = spark.createDataFrame([(n, 0) for n in range(30)] + [(n, 35) for n in range(35, 40)], "node long, root long")
+    got = J._rest_of_large(large, known).collect()
+    assert {r["path"] for r in got} == {1, 3}
+    assert {r["node"] for r in got if r["path"] == 1 and r["minor"]} == set(range(30, 40))
+    pairs: dict = {}
+    for r in got:
+        pairs.setdefault((r["path"], r["pair"]), []).append(r)
+    met = {frozenset((a["node"], b["node"])) for rows in pairs.values() for a in rows for b in rows if a["path"] == 1 and a["minor"]}
+    assert all(frozenset((a, b)) in met for a in range(30, 40) for b in range(40))
+
+
+def test_differences_give_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+    batch = J.pa.RecordBatch.from_pydict({"comp": [0] * 30, "node": list(range(30)), "n_docs": [1] * 30, "size": [30] * 30, "set": [s.tobytes() for s in sets], "ref": [sets[0].tobytes()] * 29 + [None]})
+    d = next(J._differences(iter([batch, batch]))).to_pydict()
+    for i in range(29):
+        for j in range(29):
+            a, b = (set(np.frombuffer(d["d"][x], np.uint64).tolist()) for x in (i, j))
+            assert d["ref"][i] - d["miss"][i] - d["miss"][j] + len(a & b) == len(np.intersect1d(sets[i], sets[j]))
+    assert d["n"] == [len(s) for s in sets] and d["miss"][29] == 0
+
+
 def test_runs_reach_the_recall():
     assert J.runs_for(0.9999, 3, 0.8) == 13
     sketch = np.random.default_rng(0).integers(0, 2**63, (2000, J.COORDS)).astype(np.uint64)
