@@ -8,9 +8,15 @@ part. A query goes to its most probable parts, as many as a calibration on sampl
 sample, where neighbours are sparser than in the table), and on until these hold enough candidates; those are ranked again
 by exact cosines of the original vectors, in double precision.
 
-Parts are split into blocks of at most ``BLOCK`` rows, whatever their size, and so are the queries that a part gets, so a
-task holds two blocks; only each query's best few of a block go on. The driver holds the sample, the network and one count
-a part. Groups of equal vectors spread over the blocks of their part.
+Parts grow in number with the table: as many levels are made as parts of about ``PART_ROWS`` rows need, with at most
+``MAX_PARTS`` parts a level. Below the first level every part has a sample, a graph and a network of its own, fitted by the
+task that gets the sample; rows are placed and queries routed level by level, and each level's share of the recall is
+``RECALL`` to the power of one over their number.
+
+Parts are split into blocks of about ``BLOCK`` rows, whatever their size, and so are the queries that a part gets, so a
+task holds two blocks, or a block and a network; only each query's best few of a block go on. The driver holds the first
+level's sample, its network and one count for each of its parts, whatever the table's size. Rows are dealt to blocks by chance, so
+neither equal vectors nor rows of one id are a group.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part; shorter vectors count as padded with
 zeros. Ties go to the smaller id; rows that share a query's id are no candidates for it, and rows that share an id are one
@@ -20,6 +26,8 @@ part. With fewer than k candidates, all are returned. An empty table gives an em
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,12 +128,23 @@ def train(x: np.ndarray, target: np.ndarray, seed: int = 3) -> list[np.ndarray]:
     return layers
 
 
-def fit(sample: np.ndarray, rows: int, k: int = K, recall: float = RECALL) -> Index:
-    """Learn parts, the network and the number of probes from sample vectors; ``rows``: of the whole table."""
+def levels_of(rows: int) -> int:
+    """Levels of at most MAX_PARTS parts each that parts of about PART_ROWS rows need."""
+    levels = 1
+    while PART_ROWS * MAX_PARTS**levels < rows:
+        levels += 1
+    return levels
+
+
+def fit(sample: np.ndarray, rows: int, k: int = K, recall: float = RECALL, levels: int = 1, max_parts: int = MAX_PARTS, part_rows: int = PART_ROWS) -> Index:
+    """Learn parts, the network and the number of probes from sample vectors; ``rows``: of what is to be parted, over ``levels`` levels."""
     n = len(sample)
+    want = min(max_parts, max(1, rows // part_rows) ** (1 / levels))
     parts = 1
-    while parts * 2 <= min(MAX_PARTS, max(1, rows // PART_ROWS)) or (parts < 16 and parts * 64 <= n):
+    while parts * 2 <= want * (1 + 1e-9) or (levels == 1 and parts < min(16, max_parts) and parts * 64 <= n):
         parts *= 2
+    while parts > 1 and parts * 4 > n:  # too few vectors to learn so many
+        parts //= 2
     width = sample.shape[1] if n else 0
     if parts == 1:
         return Index([np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1, width)
@@ -166,52 +185,125 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """For each row where ``is_query`` holds, its k nearest others: query_id, rank (from 1), vec_id, score."""
-    spark = table.sparkSession
-    rows = table.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    facts = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n, width = facts[0], facts[1] or 1
+def place_rows(index: Index, v: pa.Array) -> np.ndarray:
+    """The part under which each vector is indexed."""
+    return index.probabilities(units(_matrix(v, index.width))).argmax(axis=1)
+
+
+def route_rows(index: Index, v: pa.Array, sizes: np.ndarray, ids_in: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): to which parts, among those that hold rows, each query goes. ids_in: distinct ids, each counted in one part."""
+    order = np.argsort(-index.probabilities(units(_matrix(v, index.width))), axis=1, kind="stable")
+    # the last part asked is the first by which enough candidates are in reach, the query itself aside
+    reach = np.cumsum(ids_in[order], axis=1) > k
+    enough = np.where(reach.any(axis=1), reach.argmax(axis=1), index.parts - 1)
+    asked = np.arange(index.parts)[None, :] <= np.maximum(enough, index.probes - 1)[:, None]
+    row, at = np.nonzero(asked & (sizes[order] > 0))
+    return row, order[row, at]
+
+
+def _first_level(rows: DataFrame, n: int, width: int, k: int, recall: float, sample: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, v, q, part) and queries (id, v, part) by the index that the driver fits."""
+    spark = rows.sparkSession
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v")
-    index = spark.sparkContext.broadcast(fit(_matrix(picked, width), n, k, recall))
-    parts, probes = index.value.parts, index.value.probes
+    fitted = fit(_matrix(picked, width), n, k, recall, levels, MAX_PARTS, PART_ROWS)
+    fitted.width = width
+    index = spark.sparkContext.broadcast(fitted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = index.value.probabilities(units(_matrix(batch.column("v"), width)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.argmax(axis=1).astype(np.int32))], names=["id", "v", "q", "part"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_rows(index.value, batch.column("v")))], names=["id", "v", "q", "part"])
 
-    placed = C.durable(rows.mapInArrow(place, "id long, v array<double>, q boolean, part int"))
-    held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    sizes = np.array([held.get(p, 0) for p in range(parts)])
+    placed = C.durable(rows.mapInArrow(place, "id long, v array<double>, q boolean, part long"))
+    held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
     # rows of an id may lie in several parts: each id counts in one, so that any parts hold as many ids as they count, or more
     home = {r["part"]: r["count"] for r in placed.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect()}
-    ids_in = np.array([home.get(p, 0) for p in range(parts)])
-    asking = placed.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    sizes, ids_in = (np.array([of.get(p, 0) for p in range(fitted.parts)]) for of in (held, home))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(-index.value.probabilities(units(_matrix(batch.column("v"), width))), axis=1, kind="stable")
-            # the last part asked is the first by which enough candidates are in reach, the query itself aside
-            enough = (np.cumsum(ids_in[order], axis=1) > k).argmax(axis=1)
-            enough[~(np.cumsum(ids_in[order], axis=1) > k).any(axis=1)] = parts - 1
-            last = np.maximum(enough, probes - 1)
-            for p in range(parts):
-                take = np.flatnonzero((np.take_along_axis(np.argsort(order, axis=1), np.full((len(order), 1), p), 1)[:, 0] <= last) & (sizes[p] > 0))
-                if len(take):
-                    at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(np.full(len(take), p, np.int32))], names=["id", "v", "part"])
-
-    routed = C.durable(asking.mapInArrow(route, "id long, v array<double>, part int"))
-    asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    blocks = spark.createDataFrame([(p, int(-(-sizes[p] // BLOCK)), -(-asked[p] // BLOCK)) for p in range(parts) if p in asked], "part int, n_rows int, n_asked int")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        df = df.join(F.broadcast(blocks), "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return df.select("part", *([F.col("b").alias("rb"), F.col("o").alias("qb")] if own == "n_rows" else [F.col("o").alias("rb"), F.col("b").alias("qb")]), "id", "v")
+            if batch.num_rows:
+                row, part = route_rows(index.value, batch.column("v"), sizes, ids_in, k)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(part)], names=["id", "v", "part"])
+
+    asking = placed.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    return placed, C.durable(asking.mapInArrow(route, "id long, v array<double>, part long"))
+
+
+def _in_blocks(df: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``df`` with ``b``, one of its part's blocks; blocks: (part, blocks)."""
+    return df.join(blocks, "part").withColumn("b", F.floor(F.rand(7) * F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _next_level(placed: DataFrame, routed: DataFrame, width: int, k: int, recall: float, sample: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """The same one level down: each part is parted by an index of its own. Nothing is collected."""
+    most, part_rows = MAX_PARTS, PART_ROWS
+    sizes = C.durable(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    # about twice the sample by a hash of the row, then exactly those of the least hash of their id
+    few = placed.join(sizes, "part").where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) * F.col("n") < F.lit(2 * sample << 30))
+    first = F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
+    picked = few.withColumn("r", first).where(F.col("r") <= sample).select("part", "n", "v")
+
+    def learn(table: pa.Table) -> pa.Table:
+        index = fit(_matrix(table.column("v"), width), table.column("n")[0].as_py(), k, recall, levels, most, part_rows)
+        index.width = width
+        return pa.table({"part": table.column("part")[:1], "model": pa.array([pickle.dumps(index)], pa.binary())})
+
+    models = C.durable(picked.groupBy("part").applyInArrow(learn, "part long, model binary"))
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = place_rows(pickle.loads(right.column("model")[0].as_py()), left.column("v")) if left.num_rows else np.zeros(0, np.int64)
+        return pa.table({"id": left.column("id"), "v": left.column("v"), "q": left.column("q"), "part": pa.array(np.asarray(left.column("part")) * most + part)})
+
+    by = ["part", "b"]
+    blocks = sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    each = lambda df: df.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    below = C.durable(_in_blocks(placed, blocks).groupBy(*by).cogroup(each(models.join(blocks, "part")).groupBy(*by)).applyInArrow(place, "id long, v array<double>, q boolean, part long"))
+
+    above = F.expr(f"part div {most}")
+    held = below.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    home = below.groupBy("id", above.alias("above")).agg(F.min("part").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("ids"))
+    counts = held.join(home, "part", "left").groupBy(above.alias("above")).agg(F.collect_list(F.struct(F.pmod("part", F.lit(most)).alias("p"), "n", F.coalesce("ids", F.lit(0)).alias("ids"))).alias("counts"))  # at most MAX_PARTS each
+
+    def route(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["id", "v", "part"]
+        if not left.num_rows:
+            return left.select(names)
+        index = pickle.loads(right.column("model")[0].as_py())
+        sizes, ids_in = np.zeros(index.parts, np.int64), np.zeros(index.parts, np.int64)
+        for c in right.column("counts")[0].as_py():
+            sizes[c["p"]], ids_in[c["p"]] = c["n"], c["ids"]
+        row, part = route_rows(index, left.column("v"), sizes, ids_in, k)
+        at = pa.array(row)
+        return pa.table([left.column("id").take(at), left.column("v").take(at), pa.array(np.asarray(left.column("part"))[row] * most + part)], names=names)
+
+    blocks = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    told = each(models.join(counts.withColumnRenamed("above", "part"), "part").join(blocks, "part"))
+    return below, C.durable(_in_blocks(routed, blocks).groupBy(*by).cogroup(told.groupBy(*by)).applyInArrow(route, "id long, v array<double>, part long"))
+
+
+def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, report: dict | None = None) -> DataFrame:
+    """For each row where ``is_query`` holds, its k nearest others: query_id, rank (from 1), vec_id, score. ``report`` gets the
+    numbers of levels, of rows, of queries and of comparisons."""
+    rows = table.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    facts = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, width = facts[0], facts[1] or 1
+    levels = levels_of(n)
+    share = recall ** (1 / levels)
+    placed, routed = _first_level(rows, n, width, k, share, sample, levels)
+    for left in range(levels - 1, 0, -1):
+        placed, routed = _next_level(placed, routed, width, k, share, sample, left)
+    of = [df.groupBy("part").agg(F.count(F.lit(1)).alias(name)) for df, name in ((placed, "n"), (routed, "m"))]
+    pairs = C.durable(of[0].join(of[1], "part"))
+    if report is not None:
+        report |= {"levels": levels, "rows": n, "queries": routed.select("id").distinct().count(), "comparisons": pairs.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0}
+    n_rows, n_asked = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "m"))
+
+    def dealt(df: DataFrame, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
+        df = _in_blocks(df, pairs.select("part", own.alias("blocks"), other.alias("others")))
+        df = df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        return df.select("part", F.col("b").alias(names[0]), F.col("o").alias(names[1]), "id", "v")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -242,7 +334,7 @@ def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
     by = ["part", "rb", "qb"]
-    found = dealt(routed, "n_asked", "n_rows").groupBy(*by).cogroup(dealt(placed, "n_rows", "n_asked").groupBy(*by)).applyInArrow(best, "query_id long, vec_id long, score double")
+    found = dealt(routed, n_asked, n_rows, ("qb", "rb")).groupBy(*by).cogroup(dealt(placed, n_rows, n_asked, ("rb", "qb")).groupBy(*by)).applyInArrow(best, "query_id long, vec_id long, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -252,10 +344,5 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(C.read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
-def recall_of(found: pd.DataFrame, true: pd.DataFrame) -> float:
-    """Share of the true (query_id, vec_id) pairs that were found."""
-    return len(found.merge(true, on=["query_id", "vec_id"])) / max(1, len(true))
-
-
 QUERIES = {"op1_learned_partitions": op1_learned_partitions}
 SQL: dict[str, str] = {}

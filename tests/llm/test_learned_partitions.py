@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -48,6 +50,49 @@ def test_routing_saves_work(spark):
     assert index.parts == 32 and index.probes <= index.parts / 2
 
 
+def _recall(got, want):
+    found = set(zip(got.query_id, got.vec_id, strict=True))
+    true = {(q, v) for q, w in want.items() for v, _ in w}
+    return len(found & true) / len(true)
+
+
+def test_levels_grow_with_the_table(spark, monkeypatch):
+    """With parts and levels made small: three levels, each row under one part of each, and the recall holds."""
+    monkeypatch.setattr(A, "MAX_PARTS", 4)
+    monkeypatch.setattr(A, "PART_ROWS", 80)
+    monkeypatch.setattr(A, "BLOCK", 300)
+    assert [A.levels_of(x) for x in (0, 320, 321, 1280, 1281, 5121)] == [1, 1, 2, 2, 3, 4]
+    ids, x = np.arange(3000), _clustered(3000)
+    x[2000:2400] = x[0]  # a part that can't be parted
+    report: dict = {}
+    got = A.search(_table(spark, ids, x), F.col("vec_id") % 50 == 0, report=report).toPandas()
+    assert report["levels"] == 3 and report["queries"] == 60 and report["comparisons"] < 0.75 * 60 * 3000
+    assert (got.groupby("query_id").size() == 5).all() and got.query_id.nunique() == 60
+    # of equal vectors any will do: scores are compared
+    want = _brute(ids, x, ids % 50 == 0)
+    hits = [sum(s >= want[q][4][1] for s in g.score) / 5 for q, g in got.groupby("query_id")]
+    assert np.mean(hits) >= 0.9
+    few = A.search(_table(spark, ids[:5], x[:5]), F.col("vec_id") == 0).toPandas()
+    assert list(few.sort_values("rank")["rank"]) == [1, 2, 3, 4]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the test tables")
+def test_recall_on_the_test_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    report: dict = {}
+    got = A.search(table, F.col("vec_id") % 50 == 0, report=report).toPandas()
+    rows = table.orderBy("vec_id").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = {}
+    for i in np.flatnonzero(rows.vec_id % 50 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        true[rows.vec_id[i]] = [(rows.vec_id[j], s[j]) for j in np.argsort(-s)[:5]]
+    print("recall", _recall(got, true), report)
+    assert _recall(got, true) >= 0.9
+
+
 def test_parts_are_balanced():
     x = A.units(_clustered(1000))
     graph = A.nearest(x, x, 8, np.arange(1000))
