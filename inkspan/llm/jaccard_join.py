@@ -5,7 +5,7 @@ coordinate with a probability equal to their similarity. Each run starts with al
 recursively: a node of the path draws one coordinate, and with chance 1/4 a second, from a hash of the path, and every set
 goes on to the child that its own token of that coordinate names. Sets that share no token part at once. Nodes of at most
 ``leaf`` sets are compared by brute force, larger ones split again, up to ``depth`` times. What is still larger then are mostly
-sets alike, which no split parts: one run compares them in blocks, pair of blocks by pair of blocks, and closes what it finds to
+sets alike, which no split parts: ``FIRST`` runs compare them in blocks, pair of blocks by pair of blocks, and close what they find to
 components; in the other runs a large node is left out if all of it lies in one component already, and else only its smaller
 components are compared, with all of it. So no case is dropped, and sets that are known to be connected are not compared again.
 Runs repeat until the chance that a pair at the threshold met nowhere is below ``1 - recall``.
@@ -46,6 +46,8 @@ DEPTH, LEAF, RECALL = 3, 200, 0.9999
 SKETCH_BLOCK, BLOCK = 1000, 256
 #: Blocks that a large component is cut into, if these hold between SMALLEST and LARGEST sets.
 COPIES, SMALLEST, LARGEST = 32, 64, 4096
+#: Runs that compare all of a large node.
+FIRST = 3
 #: Low bits of a path that name its run.
 _RUN = np.uint64(63)
 _U = np.uint64
@@ -298,25 +300,36 @@ def _column(part: pa.Table, name: str) -> np.ndarray:
 
 
 def _verify(text: str, shingle: int, threshold: float) -> Callable:
-    """All pairs of components of at most BLOCK sets, from the texts."""
+    """All pairs of a component of at most BLOCK sets, from the texts, or of two blocks of a larger one, from differences.
+
+    If A and B differ from R in a and b, A and B share R less what either misses, which with what both add is
+    |R| - miss(a) - miss(b) + |a and b|.
+    """
+
+    def by_texts(part: pa.Table) -> tuple:
+        node, copies = _column(part, "node"), _column(part, "n_docs")
+        values, first = C.shingle_sets(C.Words(C.to_array(part.column(text))), shingle)
+        sizes, some, nodes = _nodes(values, first)
+        own = np.zeros(len(node), np.int64)
+        own[some] = nodes.view(np.int64)
+        # a row whose text only shares the hash of the one meant goes
+        one = np.flatnonzero(own == node)
+        if len(one) < len(node):
+            values = np.concatenate([values[:0], *[values[first[d] : first[d + 1]] for d in one]])
+            node, copies, sizes = node[one], copies[one], sizes[one]
+            first = np.concatenate([[0], np.cumsum(sizes)])
+        return _counted(node, np.zeros(len(node)), copies, sizes, _intersections(values, first), threshold)
+
+    def by_differences(part: pa.Table) -> tuple:
+        node, block, copies, miss, ref, n = (_column(part, c) for c in ("node", "block", "n_docs", "miss", "ref", "n"))
+        raw = part.column("d").to_pylist()
+        first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        both = ref[0] - miss[:, None] - miss[None, :] + _intersections(np.frombuffer(b"".join(raw), np.uint64), first)
+        return _counted(node, block, copies, n, both, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _groups(batches, ["comp"], 512):
-            found: list[tuple] = []
-            for part in parts:
-                node, copies = _column(part, "node"), _column(part, "n_docs")
-                values, first = C.shingle_sets(C.Words(C.to_array(part.column(text))), shingle)
-                sizes, some, nodes = _nodes(values, first)
-                own = np.zeros(len(node), np.int64)
-                own[some] = nodes.view(np.int64)
-                # a row whose text only shares the hash of the one meant goes
-                one = np.flatnonzero(own == node)
-                if len(one) < len(node):
-                    values = np.concatenate([values[:0], *[values[first[d] : first[d + 1]] for d in one]])
-                    node, copies, sizes = node[one], copies[one], sizes[one]
-                    first = np.concatenate([[0], np.cumsum(sizes)])
-                found.append((_column(part, "comp")[0], 1, *_counted(node, np.zeros(len(node)), copies, sizes, _intersections(values, first), threshold)))
-            yield _batch_of(found)
+        for parts in _groups(batches, ["comp", "pair"], 512):
+            yield _batch_of([(_column(p, "comp")[0], _column(p, "blocks")[0], *(by_differences(p) if p.column("d")[0].is_valid else by_texts(p))) for p in parts])
 
     return run
 
@@ -350,24 +363,6 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("comp", "node", "n_docs", "size")], pa.array(d, pa.binary()), *[pa.array(x, pa.int64()) for x in (miss, ref, n)]], names=["comp", "node", "n_docs", "size", "d", "miss", "ref", "n"])
 
 
-def _verify_differences(threshold: float) -> Callable:
-    """All pairs of two blocks of a component: if A and B differ from R in a and b, A and B share R less what either misses, which
-    with what both add is |R| - miss(a) - miss(b) + |a and b|."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _groups(batches, ["comp", "pair"], 512):
-            found = []
-            for part in parts:
-                node, block, copies, miss, ref, n = (_column(part, c) for c in ("node", "block", "n_docs", "miss", "ref", "n"))
-                raw = part.column("d").to_pylist()
-                first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
-                both = ref[0] - miss[:, None] - miss[None, :] + _intersections(np.frombuffer(b"".join(raw), np.uint64), first)
-                found.append((_column(part, "comp")[0], _column(part, "blocks")[0], *_counted(node, block, copies, n, both, threshold)))
-            yield _batch_of(found)
-
-    return run
-
-
 def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     """Each row once for each pair of blocks that its block is in."""
     df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -380,17 +375,19 @@ def blocks_of(size: Column) -> Column:
     return F.greatest(F.least(F.ceil(size / SMALLEST), F.lit(COPIES)), F.ceil(size / LARGEST))
 
 
-def _rest_of_large(large: DataFrame, known: DataFrame) -> DataFrame:
-    """Of large nodes (path, node), what components (node, root) leave open: (path, pair, block, node, minor).
+def _rest_of_large(large: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Of large nodes (path, node), what components (node, root) leave open: (path, pair, block, node, minor); None if nothing.
 
     Nodes within one component go. Of others the largest component is not compared with itself: the rest is cut into blocks, and
     these meet each other and the blocks of the largest one.
     """
-    named = large.select("path", "node").join(known.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = C.durable(large.select("path", "node").join(known.withColumnRenamed("root", "label"), "node", "left").select("path", "node", F.coalesce("label", "node").alias("label")))
     per = named.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
-    facts = per.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("total")).where("c < total")
+    facts = C.durable(per.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("total")).where("c < total"))
+    if facts.isEmpty():
+        return None
     n_minor, n_major = F.ceil((F.col("total") - F.col("c")) / SKETCH_BLOCK).cast("int"), F.ceil(F.col("c") / SKETCH_BLOCK).cast("int")
-    rows = named.join(facts.select("path", "major", n_minor.alias("n0"), n_major.alias("n1")).hint("rebalance"), "path")
+    rows = named.join(facts.select("path", "major", n_minor.alias("n0"), n_major.alias("n1")), "path")
     minor = F.col("label") != F.col("major")
     rows = rows.withColumn("block", F.when(minor, F.pmod(F.xxhash64("node"), F.col("n0"))).otherwise(F.col("n0") + F.pmod(F.xxhash64("node"), F.col("n1"))).cast("int"))
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("n0") + F.col("n1")).otherwise(F.col("n0")) - 1)))
@@ -426,22 +423,21 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
         dealt = placed.join(marks, "node").repartition("path", "pair").sortWithinPartitions("path", "pair")
         return dealt.select("path", "pair", "block", "node", "minor", "n", "marks").mapInArrow(_alike(threshold), "u long, v long")
 
-    # nodes that were still large at the last level: one run compares them, the others what that leaves open
-    later = (F.col("size") > leaf) & (F.col("path").bitwiseAND(int(_RUN)) != 0)
+    # nodes that were still large at the last level: some runs compare them, the others what that leaves open
+    later = (F.col("size") > leaf) & (F.col("path").bitwiseAND(int(_RUN)) >= FIRST)
     links = compared(_in_blocks(every.where(~later), F.ceil(F.col("size") / SKETCH_BLOCK)).withColumn("minor", F.lit(True)))
     comps = C.durable(components(links))
     large = every.where(later)
-    if not large.isEmpty():
-        rest = compared(_rest_of_large(large, comps))
-        comps = C.durable(components(rest.unionByName(comps.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+    rest = None if large.isEmpty() else _rest_of_large(large, comps)
+    if rest is not None:
+        comps = C.durable(components(compared(rest).unionByName(comps.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     comps = comps.withColumnRenamed("root", "comp")
 
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "row.id", "row.hash", "n_docs"), "node")
     # rows that repeat the representative, id and text, are one before they are gathered
     texts = C.durable(narrow.join(sized.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"]).select("comp", "node", "n_docs", "size", "__text"))
-    kinds = "comp long, blocks int, node long, root long, links long"
-    small = texts.where(F.col("size") <= BLOCK).repartition("comp").sortWithinPartitions("comp")
-    exact = small.select("comp", "node", "n_docs", "__text").mapInArrow(_verify("__text", shingle, threshold), kinds)
+    small = texts.where(F.col("size") <= BLOCK).select("comp", F.lit(0).cast("long").alias("pair"), F.lit(1).alias("blocks"), F.lit(0).alias("block"), "node", "n_docs", "__text", *[F.lit(None).cast(k).alias(c) for c, k in (("d", "binary"), ("miss", "long"), ("ref", "long"), ("n", "long"))])
+    checked = small
     big = texts.where(F.col("size") > BLOCK)
     if not big.isEmpty():
         shingled = C.durable(big.mapInArrow(_set_rows("__text", shingle), "comp long, node long, n_docs long, size long, set binary"))
@@ -450,8 +446,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
         refs = shingled.where("node = comp").select("comp", F.col("set").alias("ref"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         salted = shingled.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(refs, ["comp", "salt"], "left")
         differing = C.durable(salted.select("comp", "node", "n_docs", "size", "set", "ref").mapInArrow(_differences, "comp long, node long, n_docs long, size long, d binary, miss long, ref long, n long"))
-        pairs = _in_blocks(differing, blocks_of(F.col("size"))).repartition("comp", "pair").sortWithinPartitions("comp", "pair")
-        exact = exact.unionByName(pairs.select("comp", "pair", "blocks", "block", "node", "n_docs", "d", "miss", "ref", "n").mapInArrow(_verify_differences(threshold), kinds))
+        checked = checked.unionByName(_in_blocks(differing, blocks_of(F.col("size"))).withColumn("__text", F.lit(None).cast("string")).select(*small.columns))
+    dealt = checked.repartition("comp", "pair").sortWithinPartitions("comp", "pair")
+    exact = dealt.mapInArrow(_verify("__text", shingle, threshold), "comp long, blocks int, node long, root long, links long")
     exact = C.durable(exact)
     counts = exact.groupBy("node").agg(F.sum("links").alias("links"))
     roots = exact.where("blocks = 1").select("node", "root")

@@ -66,7 +66,7 @@ def test_large_group_in_blocks(spark, monkeypatch, many):
     monkeypatch.setattr(J, "BLOCK", 16)
     monkeypatch.setattr(J, "SKETCH_BLOCK", 20)
     monkeypatch.setattr(J, "_MANY", many)
-    for name, value in {"COPIES": 3, "SMALLEST": 5, "LARGEST": 30}.items():
+    for name, value in {"FIRST": 1, "COPIES": 3, "SMALLEST": 5, "LARGEST": 30}.items():
         monkeypatch.setattr(J, name, value)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(120)]
@@ -112,6 +112,7 @@ def test_later_runs_compare_what_is_open(spark):
         pairs.setdefault((r["path"], r["pair"]), []).append(r)
     met = {frozenset((a["node"], b["node"])) for rows in pairs.values() for a in rows for b in rows if a["path"] == 1 and a["minor"]}
     assert all(frozenset((a, b)) in met for a in range(30, 40) for b in range(40))
+    assert J._rest_of_large(large.where("path = 2"), known) is None
 
 
 def test_differences_give_intersections():
