@@ -394,6 +394,19 @@ def _rest_of_large(large: DataFrame, known: DataFrame) -> DataFrame | None:
     return rows.withColumn("minor", minor).select("path", "minor", (F.least("block", "__o") * (F.col("n0") + F.col("n1")) + F.greatest("block", "__o")).cast("long").alias("pair"), "block", "node")
 
 
+def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) closed over more links: those between different components, as a rule few or none, are closed
+    first, between roots, and roots renamed by what that gives."""
+    found = links.join(comps.toDF("u", "a"), "u", "left").join(comps.toDF("v", "b"), "v", "left")
+    new = C.durable(found.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v").distinct())
+    if new.isEmpty():
+        return comps
+    above = C.durable(components(new))
+    renamed = comps.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # nodes that were in no component so far
+    return C.durable(renamed.unionByName(above.join(comps, "node", "left_anti")))
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, depth: int = DEPTH, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (the least id among documents that links connect), n_links (other documents
     of similarity ``threshold`` or more, copies included), n_copies (documents with the same shingles, itself included), and
@@ -430,7 +443,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     large = every.where(later)
     rest = None if large.isEmpty() else _rest_of_large(large, comps)
     if rest is not None:
-        comps = C.durable(components(compared(rest).unionByName(comps.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+        comps = _with_links(comps, compared(rest))
     comps = comps.withColumnRenamed("root", "comp")
 
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).hint("rebalance"), "comp").join(sets.select("node", "row.id", "row.hash", "n_docs"), "node")

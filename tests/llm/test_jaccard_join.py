@@ -115,6 +115,14 @@ def test_later_runs_compare_what_is_open(spark):
     assert J._rest_of_large(large.where("path = 2"), known) is None
 
 
+def test_more_links_close_components(spark):
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, root long")
+    links = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    assert sorted(map(tuple, J._with_links(comps, links([(2, 1), (9, 8)])).collect())) == sorted(map(tuple, comps.collect()))
+    got = {r["node"]: r["root"] for r in J._with_links(comps, links([(6, 2), (7, 6), (20, 21)])).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8, 20: 20, 21: 20}
+
+
 def test_differences_give_intersections():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
