@@ -20,7 +20,10 @@ null ids come first. An empty archive has no nodes and no findings. Columns othe
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -97,31 +100,43 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     placed.repartition("file").sortWithinPartitions("file", "before_size").select("file", value).write.partitionBy("file").option("lineSep", "\n").text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple[int, int, dict, bytes]]:
+def _parse(stream: BinaryIO) -> Iterator[tuple[int, int, dict, bytes]]:
+    """(offset, length, headers, body) of each record, one at a time."""
     at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:head].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = head + 4
-        end = begin + int(headers["content-length"])
-        yield at, end + 4 - at, headers, data[begin:end]
-        at = end + 4
+        size, headers = len(line), {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        if "content-length" not in headers:
+            raise ValueError(f"no length in the WARC record at byte {at}")
+        n = int(headers["content-length"])
+        body, end = stream.read(n), stream.read(4)
+        if len(body) < n or end != b"\r\n\r\n":
+            raise ValueError(f"the WARC record at byte {at} is cut short")
+        size += len(line) + n + 4
+        yield at, size, headers, body
+        at += size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, length, type, url, body) of the records of WARC files, plain or gzipped (offsets are then of the unpacked bytes)."""
+    """(path, offset, length, type, url, body) of the records of WARC files, plain or gzipped (offsets are then of the unpacked
+    bytes). A task holds a file as it is stored, which must be below 2 GB, and some records; what is gzipped is unpacked as it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "offset", "length", "type", "url", "body"]
+        names, kinds = ["path", "offset", "length", "type", "url", "body"], (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(name, o, n, h.get("warc-type"), h.get("warc-target-uri"), b) for o, n, h, b in _parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                for i in range(0, len(rows), 256):
-                    cols = list(zip(*rows[i : i + 256], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=names)
+            for i in range(batch.num_rows):
+                name, data = batch.column("path")[i].as_py(), batch.column("content")[i].as_buffer()
+                stream = io.BytesIO(data)
+                if bytes(data[:2]) == b"\x1f\x8b":
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+                rows = ((name, o, n, h.get("warc-type"), h.get("warc-target-uri"), b) for o, n, h, b in _parse(stream))
+                while some := list(itertools.islice(rows, 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, offset long, length long, type string, url string, body binary")
