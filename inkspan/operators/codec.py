@@ -92,18 +92,28 @@ class Tokenizer:
         """Text of ids. Unknown ids are dropped, special ones too unless ``special``. Bytes that are no UTF-8 raise; with
         ``special`` each token is decoded alone, so a part of a character raises."""
         tokens, n = self.vocabulary.tokens, len(self.vocabulary.special_tokens)
+        held, size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        begin = np.cumsum(size) - size
 
         @F.pandas_udf("string")
         def run(rows: pd.Series) -> pd.Series:
-            def one(row):
-                if row is None:
-                    return None
-                kept = [int(i) for i in row if 0 <= i < len(tokens)]
-                if special:
-                    return "".join(tokens[i].decode() for i in kept)
-                return b"".join(tokens[i] for i in kept if i >= n).decode()
-
-            return rows.map(one)
+            there = rows.notna().to_numpy()
+            lists = [np.asarray(r, np.int64) for r in rows[there]]
+            flat = np.concatenate([np.zeros(0, np.int64), *lists])
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            keep = (flat >= (0 if special else n)) & (flat < len(tokens))
+            flat, row = flat[keep], row[keep]
+            if special:
+                for i in np.unique(flat):
+                    tokens[i].decode()  # raises if it is no whole text
+            # the bytes of all tokens on end, gathered from the table at once
+            lengths = size[flat]
+            place = np.repeat(begin[flat] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            joined = held[place].tobytes()
+            ends = np.cumsum(np.bincount(row, weights=lengths, minlength=len(lists))).astype(np.int64).tolist()
+            out = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            out[there] = [joined[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+            return out
 
         return run(ids)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Substrings counted as they are, and those counted in lower case.
@@ -15,13 +20,35 @@ QUANTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p
 
 
 def characters(docs: DataFrame, text: str = "text", order: str | None = None) -> DataFrame:
-    """(character, frequency), and with ``order`` first_seen: the least (order, position), which breaks ties of top lists."""
-    c = F.split(F.col(text), "")
-    if order is None:
-        # a document's own counts are made by the partial aggregate
-        return docs.select(F.explode(c).alias("character")).where("character <> ''").groupBy("character").agg(F.count(F.lit(1)).alias("frequency"))
-    seen = docs.select(F.col(order).alias("o"), F.posexplode(c).alias("p", "character")).where("character <> ''")
-    return seen.groupBy("character").agg(F.count(F.lit(1)).alias("frequency"), F.min(F.struct("o", "p")).alias("first_seen"))
+    """(character, frequency), and with ``order`` first_seen: the least (order, position), which breaks ties of top lists.
+
+    Code points are counted by Arrow batch, so a row a distinct character and batch goes on, not one a character.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                if order is not None:
+                    part = part.take(pc.sort_indices(part.column("o")))
+                texts = [t or "" for t in part.column("t").to_pylist()]
+                flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+                if order is None:
+                    times = np.bincount(flat)
+                    kinds, times = np.flatnonzero(times), times[times > 0]
+                else:
+                    kinds, first, times = np.unique(flat, return_index=True, return_counts=True)
+                made = [pa.array([chr(c) for c in kinds.tolist()], pa.string()), pa.array(times.astype(np.int64))]
+                if order is not None:
+                    ends = np.cumsum([len(t) for t in texts])
+                    row = np.searchsorted(ends, first, "right")
+                    made += [part.column("o").take(pa.array(row)), pa.array((first - np.concatenate([[0], ends])[row]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(made, names=["character", "n", "o", "p"][: len(made)])
+
+    own = [] if order is None else [F.col(order).alias("o")]
+    kind = "" if order is None else f", o {docs.schema[order].dataType.simpleString()}, p long"
+    seen = docs.select(F.col(text).alias("t"), *own).mapInArrow(run, f"character string, n long{kind}")
+    return seen.groupBy("character").agg(F.sum("n").alias("frequency"), *([F.min(F.struct("o", "p")).alias("first_seen")] if own else []))
 
 
 def with_percentage(freq: DataFrame, count: str = "frequency") -> DataFrame:
