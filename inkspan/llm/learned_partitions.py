@@ -15,8 +15,9 @@ task that gets the sample; rows are placed and queries routed level by level, an
 
 Parts are split into blocks of about ``BLOCK`` rows, whatever their size, and so are the queries that a part gets, so a
 task holds two blocks, or a block and a network; only each query's best few of a block go on. The driver holds the first
-level's sample, its network and one count for each of its parts, whatever the table's size. Rows are dealt to blocks by chance, so
-neither equal vectors nor rows of one id are a group.
+level's sample, its network and one count for each of its parts, whatever the table's size. Rows are dealt to blocks by a number drawn
+for each, so neither equal vectors nor rows of one id are a group; it is written with the row, so a task that runs again deals as before.
+Queries have an id of their own each and are dealt by its hash.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part; shorter vectors count as padded with
 zeros. Ties go to the smaller id; rows that share a query's id are no candidates for it, and rows that share an id are one
@@ -202,7 +203,7 @@ def route_rows(index: Index, v: pa.Array, sizes: np.ndarray, ids_in: np.ndarray,
 
 
 def _first_level(rows: DataFrame, n: int, width: int, k: int, recall: float, sample: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, v, q, part) and queries (id, v, part) by the index that the driver fits."""
+    """Rows (id, v, q, draw, part) and queries (id, v, part) by the index that the driver fits."""
     spark = rows.sparkSession
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v")
     fitted = fit(_matrix(picked, width), n, k, recall, levels, MAX_PARTS, PART_ROWS)
@@ -212,9 +213,9 @@ def _first_level(rows: DataFrame, n: int, width: int, k: int, recall: float, sam
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_rows(index.value, batch.column("v")))], names=["id", "v", "q", "part"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_rows(index.value, batch.column("v")))], names=["id", "v", "q", "draw", "part"])
 
-    placed = C.durable(rows.mapInArrow(place, "id long, v array<double>, q boolean, part long"))
+    placed = C.durable(rows.mapInArrow(place, "id long, v array<double>, q boolean, draw int, part long"))
     held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
     # rows of an id may lie in several parts: each id counts in one, so that any parts hold as many ids as they count, or more
     home = {r["part"]: r["count"] for r in placed.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect()}
@@ -232,8 +233,9 @@ def _first_level(rows: DataFrame, n: int, width: int, k: int, recall: float, sam
 
 
 def _in_blocks(df: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``df`` with ``b``, one of its part's blocks; blocks: (part, blocks)."""
-    return df.join(blocks, "part").withColumn("b", F.floor(F.rand(7) * F.col("blocks")).cast("int")).drop("blocks")
+    """``df`` with ``b``, one of its part's blocks; blocks: (part, blocks). Rows go by what was drawn for them, queries by their id."""
+    dealt = F.col("draw") if "draw" in df.columns else F.xxhash64("id")
+    return df.join(blocks, "part").withColumn("b", F.pmod(dealt, F.col("blocks")).cast("int")).drop("blocks")
 
 
 def _next_level(placed: DataFrame, routed: DataFrame, width: int, k: int, recall: float, sample: int, levels: int) -> tuple[DataFrame, DataFrame]:
@@ -254,12 +256,12 @@ def _next_level(placed: DataFrame, routed: DataFrame, width: int, k: int, recall
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         part = place_rows(pickle.loads(right.column("model")[0].as_py()), left.column("v")) if left.num_rows else np.zeros(0, np.int64)
-        return pa.table({"id": left.column("id"), "v": left.column("v"), "q": left.column("q"), "part": pa.array(np.asarray(left.column("part")) * most + part)})
+        return pa.table({"id": left.column("id"), "v": left.column("v"), "q": left.column("q"), "draw": left.column("draw"), "part": pa.array(np.asarray(left.column("part")) * most + part)})
 
     by = ["part", "b"]
     blocks = sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     each = lambda df: df.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    below = C.durable(_in_blocks(placed, blocks).groupBy(*by).cogroup(each(models.join(blocks, "part")).groupBy(*by)).applyInArrow(place, "id long, v array<double>, q boolean, part long"))
+    below = C.durable(_in_blocks(placed, blocks).groupBy(*by).cogroup(each(models.join(blocks, "part")).groupBy(*by)).applyInArrow(place, "id long, v array<double>, q boolean, draw int, part long"))
 
     above = F.expr(f"part div {most}")
     held = below.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -286,7 +288,7 @@ def _next_level(placed: DataFrame, routed: DataFrame, width: int, k: int, recall
 def search(table: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, report: dict | None = None) -> DataFrame:
     """For each row where ``is_query`` holds, its k nearest others: query_id, rank (from 1), vec_id, score. ``report`` gets the
     numbers of levels, of rows, of queries and of comparisons."""
-    rows = table.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = table.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), (F.rand(7) * (1 << 30)).cast("int").alias("draw"))
     facts = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     n, width = facts[0], facts[1] or 1
     levels = levels_of(n)

@@ -112,6 +112,24 @@ def test_equal_vectors_ties_and_blocks(spark, monkeypatch, block):
         assert list(g.vec_id) == [v for v, _ in w] and list(g.score) == [s for _, s in w]
 
 
+def test_tasks_that_run_again_deal_rows_as_before(spark, monkeypatch):
+    """What is drawn for a row is written with it: no exchange of the search, at any level, follows a draw of its own."""
+    monkeypatch.setattr(A, "MAX_PARTS", 4)
+    monkeypatch.setattr(A, "PART_ROWS", 80)
+    monkeypatch.setattr(A, "BLOCK", 50)
+    plans, write = [], A.C.durable
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(A.C, "durable", kept)
+    found = A.search(_table(spark, np.arange(1000), _clustered(1000)), F.col("vec_id") % 50 == 0)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    drawing = [p for p in plans if "rand(" in p]
+    assert len(plans) > 5 and len(drawing) == 1 and "Join" not in drawing[0] and "CoGroup" not in drawing[0]
+
+
 def test_an_id_repeated_more_often_than_k(spark):
     rng = np.random.default_rng(5)
     near = np.array([1.0, 0.0, 0.0]) + rng.normal(size=(40, 3)) * 0.01
