@@ -23,10 +23,10 @@ def write_parts(rows: DataFrame, value: Column, end: str, order: str, folder: st
     """Text files of ``value``, which ends in the character ``end``, that end to end are all rows in ``order``. ``between``: two
     line ends come before each row but the first."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, order).sortWithinPartitions(order)
     if between:
-        ordered = ordered.crossJoin(F.broadcast(rows.agg(F.min(order).alias("__first"))))  # one row
-        value = F.concat(F.when(F.col(order) == F.col("__first"), F.lit("")).otherwise(F.lit("\n\n")), value)
+        first = rows.agg(F.min(order)).first()[0]  # not joined: a sort below a join is dropped by the optimizer
+        value = F.concat(F.when(F.col(order) == F.lit(first), F.lit("")).otherwise(F.lit("\n\n")), value)
+    ordered = rows.repartitionByRange(n, order).sortWithinPartitions(order)
     # the sink puts its separator after each row, so that is each value's own last character
     ordered.select(value.substr(F.lit(1), F.length(value) - 1).alias("value")).write.option("lineSep", end).text(folder)
 

@@ -114,6 +114,15 @@ def test_markers_over_many_blocks(spark, tmp_path):
     assert sinks.write_markers(docs.limit(0), str(tmp_path / "none.txt")) == 0 and (tmp_path / "none.txt").read_text() == ""
 
 
+def test_markers_are_written_in_order_from_many_tasks(spark, tmp_path):
+    """Rows of a range come from many tasks, so only the sort within it puts them in order."""
+    texts = [f"text {i:05d}" for i in range(4000)]
+    docs = spark.createDataFrame([(i, texts[i]) for i in sorted(range(4000), key=lambda i: i * 7919 % 4001)], "doc_idx long, text string").repartition(8)
+    sinks.write_markers(docs, str(tmp_path / "c.txt"))
+    pieces = (tmp_path / "c.txt").read_text().split(files.START)[1:]
+    assert [p.split("\n")[1] for p in pieces] == texts
+
+
 def test_markers(spark, tmp_path):
     docs = spark.createDataFrame([(0, "DOC1"), (1, "DOC2")], "doc_idx long, text string")
     path = str(tmp_path / "out" / "c.txt")
