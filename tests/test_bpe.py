@@ -4,10 +4,12 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import bpe, checks
+from inkspan.operators import bpe, checks, durable
 from inkspan.operators.codec import Tokenizer
 from inkspan.operators.vocabulary import Merges, Vocabulary
 from inkspan.plans.config import Tokenizer as Config
@@ -94,6 +96,50 @@ def test_special_id_reuse(spark):
     assert list(bpe.train(_frame(spark, texts), config).merges) == list(merges)
 
 
+def _words(seed, n=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(n)] + ["aaaa" * 9, None, ""]
+
+
+@pytest.mark.parametrize(("span", "held", "more"), [(1.2, 1 << 22, 0), (64.0, 1 << 22, 0), (2.0, 0, 0), (2.0, 1 << 22, 1 << 16)])
+def test_levels_equal_one_by_one(spark, monkeypatch, span, held, more):
+    """Narrow and wide levels, batches where the driver holds no segments, and ids of four bytes. No table is cached or left behind."""
+    monkeypatch.setattr(bpe, "SPAN", span)
+    monkeypatch.setattr(bpe, "HELD", held)
+    cached, write, before = [], bpe.durable, durable.written()
+    monkeypatch.setattr(bpe, "durable", lambda df, **o: (cached.append(spark.sparkContext._jsc.getPersistentRDDs().size()), write(df, **o))[1])
+    spark.catalog.clearCache()
+    least, texts = (12 if more else 2), _words(int(span))
+    config = Config(vocab_size=259 + (more or 30), min_frequency=least)
+    v, merges, seqs = model(["" if t is None else t for t in texts], config)
+    got = bpe.train(_frame(spark, texts), config)
+    assert list(got.merges) == list(merges) and got.vocabulary.tokens == v.tokens and len(merges) > 20
+    assert got.statistics["final_token_count"] == sum(len(s) + 2 for s in seqs)
+    assert not any(cached) and durable.written() == before
+
+
+def test_tokens_are_read_and_merged_by_pieces(monkeypatch):
+    """Pieces of whole documents, in order, give the tokens of one pass, whatever is read at once; runs and reused ids included."""
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    monkeypatch.setattr(bpe, "ROW", 7)
+    for seed in range(20):
+        rng = random.Random(seed)
+        texts = ["".join(rng.choice("aab") for _ in range(rng.choice([0, 3, 40, 90]))) for _ in range(9)]
+        coding, (v, merges, _) = bpe.Coding(275, 3), model(texts, Config(vocab_size=259 + 5, min_frequency=1))
+        batch = pa.record_batch([pa.array(["skipped", *texts])], names=["t"]).slice(1)
+        whole, starts = coding.spread(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), "<i4", -4)
+        want = whole + 3
+        pairs = np.sort(np.unique([m.left * 276 + m.right for m in merges if m.left < 259 and m.right < 259]))
+        first = [m for m in merges if m.left < 259 and m.right < 259][:1]
+        rows = [coding.rows(x) for x, _ in coding.read([batch], True)]
+        back = [x for x, _ in coding.read([pa.record_batch([r], names=["t"]) for r in rows], False)]
+        assert np.concatenate(back).tolist() == [275 if t < 0 else t for t in want.tolist()]
+        got = np.concatenate([coding.merged(x, pairs, [first]) for x in back]).tolist()
+        merged, _ = bpe.apply(want, starts, first)
+        assert got == [275 if t < 0 else t for t in merged.tolist()]
+
+
 def test_counts_and_best(spark):
     tokens = bpe.byte_tokens(_frame(spark, ["aaa", "ab", ""]), 3)
     a, b = 3 + 97, 3 + 98
