@@ -119,6 +119,14 @@ def test_levels_equal_one_by_one(spark, monkeypatch, span, held, more):
     assert not any(cached) and durable.written() == before
 
 
+def test_few_passes(spark, monkeypatch):
+    """A level takes the merges down to half of the largest count or less, not a batch alone."""
+    passes, run = [], bpe.level_pass
+    monkeypatch.setattr(bpe, "level_pass", lambda *a: (passes.append(1), run(*a))[1])
+    got = bpe.train(_frame(spark, _words(5)), Config(vocab_size=259 + 60))
+    assert len(got.merges) == 60 and len(passes) <= 12
+
+
 def test_tokens_are_read_and_merged_by_pieces(monkeypatch):
     """Pieces of whole documents, in order, give the tokens of one pass, whatever is read at once; runs and reused ids included."""
     monkeypatch.setattr(bpe, "PIECE", 50)
