@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,46 @@ def test_tokens_are_read_and_merged_by_pieces(monkeypatch):
         assert got == [275 if t < 0 else t for t in merged.tolist()]
 
 
+def test_long_segments_are_not_gathered(spark):
+    """Texts of two letters are one segment each: few rows, many bytes, which a task hands on long before its input ends."""
+
+    class Source:
+        def mapInArrow(self, run, schema):
+            taken, rng = [], np.random.default_rng(7)
+
+            def batches():
+                for _ in range(100):
+                    taken.append(1)
+                    yield pa.record_batch([pa.array([rng.integers(97, 99, 1 << 20).astype(np.uint8).tobytes().decode()])], names=["t"])
+
+            out = run(batches())
+            sizes = [next(out).nbytes, len(taken)]
+            rest = [b.nbytes for b in out]
+            assert sizes[1] < 50 and max(sizes[0], *rest) < 1 << 24 and sum(rest) + sizes[0] > 200 << 20 and len(taken) == 100
+            return grouped
+
+    grouped = type("Grouped", (), {"groupBy": lambda self, *c: self, "agg": lambda self, *c: self})()
+
+    coding = bpe.Coding(271, 3)
+    pairs = np.sort([left * 272 + right for left in (100, 101) for right in (100, 101)])
+    assert bpe.distinct_segments(Source(), True, coding, pairs) is grouped
+
+
+def test_tables_have_small_row_groups(spark, monkeypatch):
+    """A task that writes tokens holds 16 MB or so of them, not the writer's usual 128 MB."""
+    groups, write = [], bpe.durable
+
+    def kept(df, **o):
+        out = write(df, **o)
+        groups.extend(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(bpe, "durable", kept)
+    texts = spark.range(0, 24000, 1, 1).select(F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f" {i}")), 256) for i in range(32)]).alias("text"))
+    assert bpe.train(texts, Config(vocab_size=259 + 200), rounds=1).statistics["num_documents"] == 24000
+    assert max(groups) > 1
+
+
 def test_counts_and_best(spark):
     tokens = bpe.byte_tokens(_frame(spark, ["aaa", "ab", ""]), 3)
     a, b = 3 + 97, 3 + 98
